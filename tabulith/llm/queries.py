@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulith.llm import decontam, langid, packing, quality, tokencount
+from tabulith.llm import decontam, html, langid, linededup, packing, pii, quality, tokencount
 from tabulith.llm.common import table, tokenizer_path
 
+#: The query's key; a real one comes from a secret store.
+PII_KEY = "an example key, not a secret"
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -22,16 +25,31 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op2_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 @_query
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+@_query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest_columns(decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+@_query
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 @_query
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = tokencount.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
