@@ -136,6 +136,17 @@ def record_batch(schema: list[tuple[str, pa.DataType]], columns: list) -> pa.Rec
     return pa.RecordBatch.from_arrays([pa.array(c, type=t) for (_, t), c in zip(schema, columns)], names=[n for n, _ in schema])
 
 
+def in_worker(name: str, make):
+    """What ``make`` gives, made once in a Python worker and kept for its later tasks."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_tabulith_worker", types.ModuleType("_tabulith_worker")).__dict__
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
+
+
 # ------------------------------------------------------------------ hashing
 
 MIX = np.uint64(0xBF58476D1CE4E5B9)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import materialize, only, text_slices
+from tabulith.llm.common import in_worker, materialize, only, text_slices
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -136,7 +136,7 @@ def _encode_and_pack(path: str, capacity: int, separator: int, fan_in: int, slac
     def kernel(batches):
         from pyspark import TaskContext
 
-        encode, tail = encoder(path), int(separator).to_bytes(4, "little")
+        encode, tail = in_worker(f"encode {path}", lambda: encoder(path)), int(separator).to_bytes(4, "little")
         node, base, rows = TaskContext.get().partitionId(), 0, []
         for part, texts in text_slices(batches):
             for i, text in zip(part.column(0).to_pylist(), texts):

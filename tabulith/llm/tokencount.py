@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import materialize, only, path_exists, shared_dir, text_slices
+from tabulith.llm.common import in_worker, materialize, only, path_exists, shared_dir, text_slices
 
 _SCHEMA = [("digest", pa.string()), ("n_tokens", pa.int64())]
 
@@ -66,7 +66,7 @@ def _encode(path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        count = chunk_counter(path)
+        count = in_worker(f"count {path}", lambda: chunk_counter(path))
         for part, texts in text_slices(batches):
             pieces = [t.split() for t in texts]
             sizes = np.array([len(p) for p in pieces])
