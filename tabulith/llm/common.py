@@ -111,8 +111,8 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def text_slices(batches, text: str = "text", size: int = SLICE_BYTES):
-    """(batch slice, its texts as bytes) with at most ``size`` bytes of text, or one row."""
+def text_slices(batches, text: str = "text", size: int = SLICE_BYTES, rows: int = 1_000_000):
+    """(batch slice, its texts as bytes) with at most ``size`` bytes of text and ``rows`` rows, or one row."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(text))
         if batch.num_rows == 0:
@@ -122,20 +122,12 @@ def text_slices(batches, text: str = "text", size: int = SLICE_BYTES):
         start = 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + size, side="right")))
+            stop = min(max(start + 1, int(np.searchsorted(ends, base + size, side="right"))), start + rows)
             part = batch.slice(start, stop - start)
             yield part, as_bytes(part.column(part.schema.get_field_index(text)))
             start = stop
 
 
-def map_arrow(df: DataFrame, kernel, schema: str) -> DataFrame:
-    return df.mapInArrow(kernel, schema)
-
-
-def record_batch(schema: list[tuple[str, pa.DataType]], columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, type=t) for (_, t), c in zip(schema, columns)], names=[n for n, _ in schema])
-
-
 def in_worker(name: str, make):
     """What ``make`` gives, made once in a Python worker and kept for its later tasks."""
     import sys

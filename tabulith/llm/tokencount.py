@@ -23,8 +23,6 @@ from pyspark.sql import functions as F
 
 from tabulith.llm.common import in_worker, materialize, only, path_exists, shared_dir, text_slices
 
-_SCHEMA = [("digest", pa.string()), ("n_tokens", pa.int64())]
-
 
 def tokenizer_version(path: str) -> str:
     """Digest of the tokenizer file: another file is another version."""
