@@ -128,6 +128,31 @@ def text_slices(batches, text: str = "text", size: int = SLICE_BYTES, rows: int
             start = stop
 
 
+def give_back() -> None:
+    """Return a worker's free memory to the system: workers are kept for other stages' tasks."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
+def thrifty(kernel):
+    """The batch kernel, giving memory back when it ends."""
+
+    def run(batches):
+        try:
+            yield from kernel(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def in_worker(name: str, make):
     """What ``make`` gives, made once in a Python worker and kept for its later tasks."""
     import sys

@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import GOLD, MIX, drop, in_worker, materialize, mix, only, shuffle_parts, text_slices, word_hasher
+from tabulith.llm.common import GOLD, MIX, drop, in_worker, materialize, mix, only, shuffle_parts, text_slices, thrifty, word_hasher
 from tabulith.llm.graph import components
 
 SHINGLE = 5
 #: Holders of one 5-gram in a shard from which it travels as a count.
 HOT = 32
-SHARD_BYTES, SHARD_ROWS = 8_000_000, 60_000
+SHARD_BYTES, SHARD_ROWS = 3_000_000, 60_000
 #: Pivots that lists are compared with, one after another, before pairs are listed.
 PIVOT_ROUNDS = 4
 
@@ -280,8 +280,8 @@ def links(sets: DataFrame) -> DataFrame | None:
 def jaccard_classes(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """Rows (id, n_shingles, component_id): each document with the least id of its class."""
     own = only(docs, id, text).toDF("id", "text").withColumn("id", F.col("id").cast("long"))
-    buckets = 2 * shuffle_parts(own.sparkSession)
-    posted = own.mapInArrow(_post(buckets), _ROW)
+    buckets = 4 * shuffle_parts(own.sparkSession)
+    posted = own.mapInArrow(thrifty(_post(buckets)), _ROW)
     counted = materialize(posted.groupBy("bucket").applyInArrow(_count, _ROW), "counted")
     both = materialize(counted.groupBy("chunk").applyInArrow(_assemble, _SETS), "shingle-sets")
     drop(counted)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import in_worker, materialize, only, text_slices
+from tabulith.llm.common import in_worker, materialize, only, text_slices, thrifty
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -37,12 +37,13 @@ SLACK = 1 / 256
 LOCAL_PIECES = 200_000
 
 
-def encoder(path: str, limit: int = 200_000):
-    """Function: text (bytes) -> its ids as little-endian unsigned 32-bit bytes, as the library gives.
+def encoder(path: str, limit: int = 400_000):
+    """Function: texts (bytes) -> their ids as little-endian unsigned 32-bit bytes, as the library gives.
 
     Byte-level BPE merges within the stretches of its splitting pattern alone, so each distinct
-    stretch is encoded by the library once and then looked up. Added tokens are cut out first, as
-    the library does.
+    stretch is encoded by the library once and then looked up. New stretches go to the library side
+    by side: one that starts with a space and holds no other white space is split off again there.
+    Added tokens are cut out first, as the library does.
     """
     import regex
     from public_tokenizers import PATTERN
@@ -52,24 +53,36 @@ def encoder(path: str, limit: int = 200_000):
     added = {t.content: int(i).to_bytes(4, "little") for i, t in tk.get_added_tokens_decoder().items()}
     marks = regex.compile("(" + "|".join(regex.escape(t) for t in added) + ")") if added else None
     split = regex.compile(PATTERN).findall
-
-    class Known(dict):
-        def __missing__(self, stretch):
-            if len(self) >= limit:
-                self.clear()
-            ids = self[stretch] = np.array(tk.encode(stretch, add_special_tokens=False).ids, "<u4").tobytes()
-            return ids
-
-    known = Known().__getitem__
-
-    def plain(text: str) -> bytes:
-        return b"".join(map(known, split(text)))
-
-    def encode(text: bytes) -> bytes:
-        s = text.decode()
-        if marks is not None and b"<|" in text:
-            return b"".join(added[x] if x in added else plain(x) for x in marks.split(s) if x)
-        return plain(s)
+    known: dict[str, bytes] = {}
+
+    def learn(new: list[str]) -> None:
+        joined = [s for s in new if s[0] == " " and len(s) > 1 and not s[1].isspace()]
+        for s in new:
+            if s[0] != " " or len(s) == 1 or s[1].isspace():
+                known[s] = np.array(tk.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
+        for at in range(0, len(joined), 200):
+            part = joined[at : at + 200]
+            e = tk.encode("".join(part), add_special_tokens=False)
+            ids, of = np.array(e.ids, "<u4").tobytes(), np.array(e.word_ids)
+            ends = np.searchsorted(of, np.arange(1, len(part) + 1)).tolist()
+            start = 0
+            for s, end in zip(part, ends):
+                known[s] = ids[4 * start : 4 * end]
+                start = end
+
+    def encode(texts: list[bytes]) -> list[bytes]:
+        if len(known) > limit:
+            known.clear()
+        lists = []
+        for t in texts:
+            s = t.decode()
+            if marks is not None and b"<|" in t:
+                lists.append([y for x in marks.split(s) if x for y in ([x] if x in added else split(x))])
+            else:
+                lists.append(split(s))
+        known.update(added)
+        learn([s for s in set().union(*lists) if s not in known])
+        return [b"".join(map(known.__getitem__, x)) for x in lists]
 
     return encode
 
@@ -138,9 +151,9 @@ def _encode_and_pack(path: str, capacity: int, separator: int, fan_in: int, slac
 
         encode, tail = in_worker(f"encode {path}", lambda: encoder(path)), int(separator).to_bytes(4, "little")
         node, base, rows = TaskContext.get().partitionId(), 0, []
-        for part, texts in text_slices(batches):
-            for i, text in zip(part.column(0).to_pylist(), texts):
-                ids = encode(text) + tail
+        for part, texts in text_slices(batches, size=3_000_000):
+            for i, ids in zip(part.column(0).to_pylist(), encode(texts)):
+                ids += tail
                 for k, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
                     rows.append((i, k, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)])))
             if len(rows) >= LOCAL_PIECES:
@@ -180,7 +193,7 @@ def _merge(capacity: int, fan_in: int, slack: float, last: bool):
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator: int = SEPARATOR, fan_in: int = FAN_IN, slack: float = SLACK, text: str = "text", id: str = "doc_id") -> DataFrame:
     """Rows (id, piece, start, length, ids_crc32, sequence_id, offset), one for each piece."""
     own = only(docs, id, text).withColumnsRenamed({id: "id", text: "text"}).withColumn("id", F.col("id").cast("long"))
-    pieces = materialize(own.mapInArrow(_encode_and_pack(tokenizer, capacity, separator, fan_in, slack), _PIECES), "pieces")
+    pieces = materialize(own.mapInArrow(thrifty(_encode_and_pack(tokenizer, capacity, separator, fan_in, slack)), _PIECES), "pieces")
     residual = (
         pieces.where("up and offset = 0")
         .select("node", F.col("bin_fill").alias("fill"), F.array(F.struct(F.col("node").alias("home"), "bin", F.lit(0).cast("long").alias("at"))).alias("members"))

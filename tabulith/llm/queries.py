@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulith.llm import decontam, html, jaccard, langid, linededup, packing, pii, quality, tokencount
+from tabulith.llm import decontam, html, jaccard, langid, linededup, lmscore, packing, pii, quality, tokencount
 from tabulith.llm.common import table, tokenizer_path
 
 #: The query's key; a real one comes from a secret store.
@@ -61,6 +61,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+@_query
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.suffix_tree_scores(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

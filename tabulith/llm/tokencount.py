@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import in_worker, materialize, only, path_exists, shared_dir, text_slices
+from tabulith.llm.common import in_worker, materialize, only, path_exists, shared_dir, text_slices, thrifty
 
 
 def tokenizer_version(path: str) -> str:
@@ -34,12 +34,13 @@ def content_digest(text: F.Column) -> F.Column:
     return F.sha2(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x09-\x0D\x20]+", " ")), 256)
 
 
-def chunk_counter(path: str, limit: int = 200_000):
+def chunk_counter(path: str, limit: int = 400_000):
     """Function: list of stretches without ASCII white space -> token counts.
 
     A stretch seen before costs a dictionary look-up; the memory of stretches is emptied at
-    ``limit``. Stretches that could hold an added token's string are whole here as well, since
-    such strings hold no white space.
+    ``limit``. New ones go to the library side by side, with spaces between them, and their tokens
+    are told apart by offsets. Stretches that could hold an added token's string are whole here as
+    well, since such strings hold no white space.
     """
     from tokenizers import Tokenizer
 
@@ -50,10 +51,12 @@ def chunk_counter(path: str, limit: int = 200_000):
         if len(known) > limit:
             known.clear()
         new = [s for s in set(stretches) if s not in known]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for s, e in zip(part, tk.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)):
-                known[s] = len(e)
+        for at in range(0, len(new), 200):
+            part = [x.decode() for x in new[at : at + 200]]
+            e = tk.encode(" ".join(part), add_special_tokens=False)
+            ends = np.cumsum([len(x) + 1 for x in part])
+            of = np.searchsorted(ends, np.array(e.offsets, np.int64).reshape(-1, 2)[:, 0], side="right")
+            known.update(zip(new[at : at + 200], np.bincount(of, minlength=len(part)).tolist()))
         return np.fromiter(map(known.__getitem__, stretches), np.int64, len(stretches))
 
     return count
@@ -93,7 +96,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, text
         texts = texts.join(missing, "digest", "left_semi")
     # One text for each digest, combined before the shuffle, so many copies of one text travel once a task.
     distinct = texts.groupBy("digest").agg(F.any_value("text").alias("text"))
-    counted = distinct.mapInArrow(_encode(tokenizer), "digest string, n_tokens long")
+    counted = distinct.mapInArrow(thrifty(_encode(tokenizer)), "digest string, n_tokens long")
     counted.withColumn("tokenizer", F.lit(version)).write.mode("append").parquet(cache)
     stored = spark.read.parquet(cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     return digests.join(stored, "digest", "left").select(F.col("id").alias(id), "n_bytes", "n_tokens")

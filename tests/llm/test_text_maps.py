@@ -90,6 +90,18 @@ def test_cache_is_used_and_appended(spark, odd, tmp_path):
     assert spark.read.parquet(path).count() == n + 1
 
 
+def test_stretches_side_by_side(spark):
+    """Encoding new stretches together gives what the library gives for each."""
+    odd = ["\u00c9te\u0301", "e\u0301\u0301x", "\ufb03", "\u0130x", "a\u00a0b", "\u3000", "x\u0085y", "\U0001f600\u200d\U0001f525", "don't", "''s", "12\u00bd", "<|endoftext|><|x", "\u1e9e\u00df", "\u0301"]
+    words = list(dict.fromkeys(odd + [w for _, t in docs(spark) for w in re.findall(r"[^\x20\x09-\x0D]+", t)]))[:60_000]
+    tk = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    got = tokencount.chunk_counter(tokenizer_path("word_bpe_49k.json"))([w.encode() for w in words])
+    assert list(got) == [len(e) for e in tk.encode_batch(words, add_special_tokens=False)]
+    tk = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    texts = [" ".join(words[k : k + 7]) + "  " + words[k] + "\n \t" for k in range(0, len(words), 7)] + ["\x1c a\x1f", " \u2003 b", "\x85c", " <|endoftext|> d", "\u180ee"]
+    assert packing.encoder(tokenizer_path("byte_bpe_50k.json"))([t.encode() for t in texts]) == [np.array(tk.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
 # ---- packing
 
 
