@@ -75,6 +75,7 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tabulith_path = path
+    del df, writer  # else the shuffles behind them could not go
     release(spark)
     return out
 
@@ -189,3 +190,29 @@ def word_hasher(limit: int = 300_000):
 def mix(a: np.ndarray) -> np.ndarray:
     a = (a ^ (a >> np.uint64(29))) * MIX
     return a ^ (a >> np.uint64(32))
+
+
+# ------------------------------------------------------------------ keys in buckets
+
+#: Buckets from which a 56-bit key needs six bytes beside its bucket's start.
+LEAST_BUCKETS = 300
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of 56-bit keys, in the keys' order."""
+    return ((keys >> np.uint64(24)) * np.uint64(buckets)) >> np.uint64(32)
+
+
+def bucket_start(bucket: int, buckets: int) -> np.uint64:
+    return np.uint64(-(-(bucket << 32) // buckets) << 24)
+
+
+def pack_keys(keys: np.ndarray, start: np.uint64) -> bytes:
+    return np.ascontiguousarray((keys - start).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unpack_keys(raw: bytes) -> np.ndarray:
+    """Packed keys, beside their bucket's start."""
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view("<u8").astype(np.uint64)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import GOLD, MIX, drop, in_worker, materialize, mix, only, shuffle_parts, text_slices, thrifty, word_hasher
+from tabulith.llm.common import GOLD, LEAST_BUCKETS, bucket_of, bucket_start, drop, in_worker, materialize, mix, only, pack_keys, shuffle_parts, text_slices, thrifty, unpack_keys, word_hasher
 from tabulith.llm.graph import components
 
 SHINGLE = 5
@@ -35,7 +35,7 @@ SHINGLE = 5
 HOT = 32
 SHARD_BYTES, SHARD_ROWS = 3_000_000, 60_000
 #: Pivots that lists are compared with, one after another, before pairs are listed.
-PIVOT_ROUNDS = 4
+PIVOT_ROUNDS = 2
 
 _ROW = "bucket int, chunk long, kind int, ids array<long>, a binary, b binary, c binary, d binary, e binary"
 _TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * 5]
@@ -75,10 +75,6 @@ def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-
-
 def _post(buckets: int):
     """Shards of text to rows for the buckets."""
 
@@ -97,7 +93,7 @@ def _post(buckets: int):
                     sets.append(s)
                 of.append(k)
             ns = np.array([len(s) for s in sets], np.uint32)
-            keys = np.concatenate(sets)
+            keys = np.concatenate(sets) >> np.uint64(8)
             owner = np.repeat(np.arange(len(sets), dtype=np.uint16), ns)
             order = np.argsort(keys, kind="stable")
             keys, owner = keys[order], owner[order]
@@ -112,12 +108,13 @@ def _post(buckets: int):
                 (home, chunk, _HOT_LISTS, None, hot_keys.tobytes(), hot_counts.tobytes(), owner[hot].tobytes(), None, None),
             ]
             keys, owner = keys[~hot], owner[~hot]
-            ends = np.searchsorted(_bucket(keys, buckets), np.arange(buckets + 1, dtype=np.uint64))
-            hot_ends = np.searchsorted(_bucket(hot_keys, buckets), np.arange(buckets + 1, dtype=np.uint64))
+            ends = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1, dtype=np.uint64))
+            hot_ends = np.searchsorted(bucket_of(hot_keys, buckets), np.arange(buckets + 1, dtype=np.uint64))
             for b in range(buckets):
                 i, j, p, q = int(ends[b]), int(ends[b + 1]), int(hot_ends[b]), int(hot_ends[b + 1])
                 if i < j or p < q:
-                    rows.append((b, chunk, _POSTED, None, keys[i:j].tobytes(), owner[i:j].tobytes(), hot_keys[p:q].tobytes(), hot_counts[p:q].tobytes(), None))
+                    start = bucket_start(b, buckets)
+                    rows.append((b, chunk, _POSTED, None, pack_keys(keys[i:j], start), owner[i:j].tobytes(), pack_keys(hot_keys[p:q], start), hot_counts[p:q].tobytes(), None))
             chunk += 1
             yield from _table(rows).to_batches()
 
@@ -125,8 +122,9 @@ def _post(buckets: int):
 
 
 def _column(table: pa.Table, name: str, dtype) -> tuple[np.ndarray, np.ndarray]:
-    """A binary column's arrays end to end, and their lengths."""
-    values = [np.frombuffer(x or b"", dtype) for x in table[name].to_pylist()]
+    """A binary column's arrays end to end, and their lengths; without a type, of packed hashes."""
+    values = [unpack_keys(x or b"") if dtype is None else np.frombuffer(x or b"", dtype) for x in table[name].to_pylist()]
+    dtype = dtype or np.uint64
     return np.concatenate(values) if values else np.zeros(0, dtype), np.array([len(v) for v in values], np.int64)
 
 
@@ -138,9 +136,9 @@ def _count(key, table):
     if not posted.num_rows:
         return through
     chunks = np.array(posted["chunk"].to_pylist(), np.int64)
-    keys, n = _column(posted, "a", np.uint64)
+    keys, n = _column(posted, "a", None)
     owner, _ = _column(posted, "b", np.uint16)
-    hot, hot_n = _column(posted, "c", np.uint64)
+    hot, hot_n = _column(posted, "c", None)
     hot_count, _ = _column(posted, "d", np.uint32)
     every = np.concatenate([keys, hot])
     weight = np.concatenate([np.ones(len(keys), np.int64), hot_count.astype(np.int64)])
@@ -148,18 +146,18 @@ def _count(key, table):
     first = np.concatenate([[True], np.diff(every[order]) != 0])
     group = np.cumsum(first) - 1
     total = np.bincount(group, weight[order]).astype(np.int64)
-    df = np.empty(len(every), np.uint32)
-    df[order] = np.minimum(total[group], 2**32 - 1)
+    df = np.empty(len(every), np.uint16)
+    df[order] = np.minimum(total[group], 2**16 - 1)  # the order of sets' members needs no more
     df, hot_df = df[: len(keys)], df[len(keys) :]
     keep = df > 1
     row = np.repeat(np.arange(len(chunks)), n)
     ends = np.cumsum(np.bincount(row[keep], minlength=len(chunks)))
     keys, owner, df = keys[keep], owner[keep], df[keep]
     hot_ends = np.cumsum(hot_n)
-    rows, i, p = [], 0, 0
+    rows, i, p, none = [], 0, 0, np.uint64(0)
     for c, j, q in zip(chunks, ends, hot_ends):
         if i < j or p < q:
-            rows.append((int(key[0].as_py()), int(c), _POSTED, None, keys[i:j].tobytes(), owner[i:j].tobytes(), df[i:j].tobytes(), hot[p:q].tobytes(), hot_df[p:q].tobytes()))
+            rows.append((int(key[0].as_py()), int(c), _POSTED, None, pack_keys(keys[i:j], none), owner[i:j].tobytes(), df[i:j].tobytes(), pack_keys(hot[p:q], none), hot_df[p:q].tobytes()))
         i, p = j, q
     return pa.concat_tables([through.cast(_table([]).schema), _table(rows)])
 
@@ -172,7 +170,11 @@ def prefix_length(n):
 _SETS = "id long, sid binary, n int, keys array<long>"
 
 
-def _assemble(key, table):
+def _assemble(buckets: int):
+    return lambda key, table: _shard_sets(table, buckets)
+
+
+def _shard_sets(table: pa.Table, buckets: int) -> pa.Table:
     """One shard: its documents, and the sets that may have a link, with their shared 5-grams."""
     kind = np.array(table["kind"].to_pylist())
     meta = table.filter(pa.array(kind == _META))
@@ -180,11 +182,14 @@ def _assemble(key, table):
     ns = np.frombuffer(meta["b"][0].as_py(), np.uint32).astype(np.int64)
     digests = meta["c"][0].as_py()
     posted = table.filter(pa.array(kind == _POSTED))
-    keys, _ = _column(posted, "a", np.uint64)
+    start = np.array([bucket_start(b, buckets) for b in posted["bucket"].to_pylist()], np.uint64)
+    keys, n = _column(posted, "a", None)
+    keys = keys + np.repeat(start, n)
     owner, _ = _column(posted, "b", np.uint16)
-    df, _ = _column(posted, "c", np.uint32)
-    hot, _ = _column(posted, "d", np.uint64)
-    hot_df, _ = _column(posted, "e", np.uint32)
+    df, _ = _column(posted, "c", np.uint16)
+    hot, n = _column(posted, "d", None)
+    hot = hot + np.repeat(start, n)
+    hot_df, _ = _column(posted, "e", np.uint16)
     lists = table.filter(pa.array(kind == _HOT_LISTS))
     local, _ = _column(lists, "a", np.uint64)
     count, _ = _column(lists, "b", np.uint32)
@@ -223,79 +228,78 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 _LINKED = "9 * o >= 4 * (na + nb)"  # o / (na + nb - o) >= 0.8
 
 
-def links(sets: DataFrame) -> DataFrame | None:
-    """Links (a, b) that have the components of all links between the sets; None without any."""
+def links(sets: DataFrame) -> DataFrame:
+    """Links (a, b) that have the components of all links between the sets."""
     posts = materialize(
         sets.select("sid", "n", (F.col("n") - F.size("keys")).alias("own"), F.posexplode(F.expr("slice(keys, 1, n - (4 * n + 4) div 5 + 1 - (n - size(keys)))")).alias("at", "key"))
-        .select("key", "sid", "n", "own", (F.col("own") + F.col("at")).cast("int").alias("pos")),
+        .select("key", "sid", "n", "own", (F.col("own") + F.col("at")).cast("int").alias("pos"), F.col("sid").alias("c")),
         "postings",
     )
-    found: DataFrame | None = None
-    label: DataFrame | None = None
-    overlaps: DataFrame | None = None
+    found = overlaps = None
     for round_ in range(PIVOT_ROUNDS):
-        now = posts if label is None else posts.join(label, "sid", "left").withColumn("c", F.coalesce("root", "sid")).drop("root")
-        if label is None:
-            now = now.withColumn("c", F.col("sid"))
-        # Lists that still hold two classes, and how many pairs they would list.
-        classes = now.groupBy("key", "c").agg(F.count("*").alias("k"), F.min(F.struct(F.expr("own * 1000000L div n") if round_ == 0 else F.xxhash64("sid", F.lit(round_)), "sid", "n")).alias("best"))
-        open_ = classes.groupBy("key").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.min("best").alias("best"), F.count("*").alias("classes")).where("classes > 1")
-        open_ = materialize(open_.select("key", "k", "kk", F.col("best.sid").alias("pivot"), F.col("best.n").alias("pn")), "lists")
-        n_posts, n_pairs = open_.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2), F.lit(0))).first()
-        if not n_posts:
-            drop(posts)
-            return found
-        if round_ and n_pairs <= 4 * n_posts:
-            break
-        pairs = (
-            now.join(open_.select("key", "pivot", "pn"), "key").where("sid != pivot and 5 * least(n, pn) >= 4 * greatest(n, pn)")
-            .join(label.select(F.col("sid").alias("pivot"), F.col("root").alias("pc")), "pivot", "left").where("c != coalesce(pc, pivot)").select(F.col("sid").alias("a"), F.col("pivot").alias("b")).distinct()
-            if label is not None
-            else now.join(open_.select("key", "pivot", "pn"), "key").where("sid != pivot and 5 * least(n, pn) >= 4 * greatest(n, pn)").select(F.col("sid").alias("a"), F.col("pivot").alias("b")).distinct()
-        )
+        # A list's pivot: first the member with the least of its own, then any.
+        rank = F.expr("own * 1000000L div n") if round_ == 0 else F.xxhash64("sid", F.lit(round_))
+        pivots = posts.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), F.col("sid").alias("pivot"), F.col("n").alias("pn"), F.col("c").alias("pc"))).alias("p")).select("key", "p.*")
+        # Of the pivots that a set meets, it is compared with the one that it meets in most lists.
+        met = posts.join(pivots, "key").where("c != pc and 5 * least(n, pn) >= 4 * greatest(n, pn)").groupBy("sid", "pivot").agg(F.count("*").alias("k"))
+        pairs = met.groupBy("sid").agg(F.max(F.struct("k", "pivot")).alias("best")).select(F.col("sid").alias("a"), F.col("best.pivot").alias("b"))
         seen = materialize(_verified(pairs, sets), "overlaps")
         overlaps = seen if overlaps is None else overlaps
         new = seen.where(_LINKED).select("a", "b")
         found = new if found is None else found.unionByName(new)
         label = components(found).select(F.col("node").alias("sid"), "root")
+        # Lists of one class have nothing more to say.
+        last, now = posts, posts.drop("c").join(label, "sid", "left").withColumn("c", F.coalesce("root", "sid")).drop("root")
+        now = materialize(now, "labelled")
+        open_ = now.groupBy("key").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least != most").select("key")
+        posts = materialize(now.join(open_, "key", "left_semi"), "open-postings")
+        drop(last)
+        drop(now)
     # What is left: pairs of different classes that the bounds allow.
-    now = posts.join(open_.select("key", "pivot"), "key").join(label, "sid", "left").withColumn("c", F.coalesce("root", "sid"))
-    with_pivot = now.join(overlaps.select(F.col("a").alias("sid"), F.col("b").alias("pivot"), "o").distinct(), ["sid", "pivot"], "left")
-    with_pivot = materialize(with_pivot.select("key", "sid", "n", "pos", "c", "o"), "open-postings")
-    small = with_pivot.where("pos <= n - (8 * n + 8) div 9").select("key", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("i"), F.col("c").alias("ca"), F.col("o").alias("oa"))
-    large = with_pivot.select("key", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("j"), F.col("c").alias("cb"), F.col("o").alias("ob"))
+    with_pivot = posts.join(overlaps.select(F.col("a").alias("sid"), F.col("b").alias("pivot"), "o"), "sid", "left")
+    side = lambda a, n, i, c, p, o: with_pivot.select("key", F.col("sid").alias(a), F.col("n").alias(n), F.col("pos").alias(i), F.col("c").alias(c), F.col("pivot").alias(p), F.col("o").alias(o))
+    small = side("a", "na", "i", "ca", "pa", "oa").where("i <= na - (8 * na + 8) div 9")
+    large = side("b", "nb", "j", "cb", "pb", "ob")
     need = "4 * (na + nb)"
     allowed = (
         "ca != cb and 5 * na >= 4 * nb and (na < nb or (na = nb and a < b))"
         f" and 9 * least(na - i, nb - j) >= {need}"
-        f" and (oa is null or ob is null or 9 * (least(oa, ob) + least(na - oa, nb - ob)) >= {need})"
+        f" and (pa is null or pb is null or pa != pb or 9 * (least(oa, ob) + least(na - oa, nb - ob)) >= {need})"
     )
-    pairs = small.join(large, "key").where(allowed).select("a", "b").distinct()
+    # What both have in common up to their last common place in the prefixes, and at most beyond it.
+    pairs = small.join(large, "key").where(allowed).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"), F.max("i").alias("i"), F.max("j").alias("j"))
+    pairs = pairs.where(f"9 * (k + least(na - i, nb - j) - 1) >= {need}").select("a", "b")
     rest = materialize(_verified(pairs, sets).where(_LINKED).select("a", "b"), "late-links")
-    for x in (posts, with_pivot):
-        drop(x)
+    drop(posts)
     return found.unionByName(rest)
 
 
 def jaccard_classes(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """Rows (id, n_shingles, component_id): each document with the least id of its class."""
     own = only(docs, id, text).toDF("id", "text").withColumn("id", F.col("id").cast("long"))
-    buckets = 4 * shuffle_parts(own.sparkSession)
+    buckets = max(LEAST_BUCKETS, 4 * shuffle_parts(own.sparkSession))
     posted = own.mapInArrow(thrifty(_post(buckets)), _ROW)
-    counted = materialize(posted.groupBy("bucket").applyInArrow(_count, _ROW), "counted")
-    both = materialize(counted.groupBy("chunk").applyInArrow(_assemble, _SETS), "shingle-sets")
-    drop(counted)
+    counted = posted.groupBy("bucket").applyInArrow(_count, _ROW)
+    both = materialize(counted.groupBy("chunk").applyInArrow(_assemble(buckets), _SETS), "shingle-sets")
     sets = materialize(both.where("keys is not null").select("sid", "n", "keys").dropDuplicates(["sid"]), "live-sets")
     members = both.where("keys is null").select("id", "sid", "n")
     found = links(sets)
     least = members.where("sid is not null").groupBy("sid").agg(F.min("id").alias("least"))
-    if found is not None:
-        roots = components(found).select(F.col("node").alias("sid"), "root")
-        by_root = least.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-        lowest = by_root.groupBy("root").agg(F.min("least").alias("component_id"))
-        least = by_root.join(lowest, "root").select("sid", "component_id")
-    else:
-        least = least.withColumnRenamed("least", "component_id")
+    roots = components(found).select(F.col("node").alias("sid"), "root")
+    by_root = least.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    lowest = by_root.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = by_root.join(lowest, "root").select("sid", "component_id")
     return members.join(least, "sid", "left").select(
         F.col("id").alias(id), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")
     )
+
+
+def keep_first(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id is the least of its class, one row where rows are repeated."""
+    classes = jaccard_classes(docs, text, id).select(F.col(f"`{id}`").alias("__id"), (F.col(f"`{id}`").eqNullSafe(F.col("component_id"))).alias("__first"))
+    by_id = materialize(classes.groupBy("__id").agg(F.max("__first").alias("__first"), (F.count("*") > 1).alias("__again")), "first-of-class")
+    same = F.col(f"`{id}`").eqNullSafe(F.col("__id"))
+    if by_id.where("__first and __again").isEmpty():
+        return docs.join(by_id.where("not __first"), same, "left_anti")
+    once = docs.join(by_id.where("not __first or __again"), same, "left_anti")
+    return once.unionByName(docs.join(by_id.where("__first and __again"), same, "left_semi").dropDuplicates([id, text]))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import GOLD, drop, give_back, in_worker, materialize, mix, only, shuffle_parts, text_slices, thrifty, word_hasher
+from tabulith.llm.common import GOLD, LEAST_BUCKETS, bucket_of, bucket_start, drop, give_back, in_worker, materialize, mix, only, pack_keys, shuffle_parts, text_slices, thrifty, unpack_keys, word_hasher
 
 DEPTH = 2
 MIN_COUNT = 8
@@ -109,28 +109,42 @@ class Shard:
         return self.vocabulary, np.bincount(self.of[self.train], minlength=len(self.vocabulary))
 
     def level(self, d: int) -> dict:
-        """Positions with a candidate context of d words; their keys, distinct keys and contexts."""
+        """Positions with a candidate context of d words; their distinct grams and contexts."""
         if d in self.levels:
             return self.levels[d]
         if d == 0:
-            grams = self.vocabulary[self.of]
             counts = self.totals(_COUNT)[0][self.of] if _COUNT in self.got else None
-            self.levels[0] = {"grams": grams, "counts": counts}
+            self.levels[0] = {"number": self.of.astype(np.int64), "size": len(self.vocabulary), "keys": self.vocabulary, "counts": counts}
             return self.levels[0]
         below = self.level(d - 1)
         at = np.flatnonzero(self.offset >= d)
         n = below["counts"][at - 1]
         at, n = at[n >= self.min_count], n[n >= self.min_count]
-        context = below["grams"][at - 1]
-        keys = mix((context * GOLD) ^ mix(self.vocabulary[self.of[at]] + np.uint64(d)))
-        distinct, first, of = np.unique(keys, return_index=True, return_inverse=True)
-        contexts, context_of = np.unique(context, return_inverse=True)
-        out = {"at": at, "n": n, "distinct": distinct, "first": first, "of": of, "contexts": contexts, "context_of": context_of, "trained": np.bincount(of[self.train[at]], minlength=len(distinct))}
-        if 10 * d + _COUNT in self.got or not len(distinct):
+        context = below["number"][at - 1]
+        code = context * len(self.vocabulary) + self.of[at]
+        order = np.argsort(code)
+        new = np.diff(code[order], prepend=-1) != 0
+        of = np.empty(len(code), np.int64)
+        of[order] = np.cumsum(new) - 1
+        one = order[new]  # a position of each distinct gram
+        keys = mix((below["keys"][context[one]] * GOLD) ^ mix(self.vocabulary[self.of[at[one]]] + np.uint64(d)))
+        # Grams in the order of their keys, as the buckets answer.
+        rank = np.argsort(keys)
+        back = np.empty(len(rank), np.int64)
+        back[rank] = np.arange(len(rank))
+        of, one, keys = back[of], one[rank], keys[rank]
+        seen = np.zeros(below["size"], bool)
+        seen[context] = True
+        contexts = np.flatnonzero(seen)
+        slot = np.zeros(below["size"], np.int64)
+        slot[contexts] = np.arange(len(contexts))
+        out = {"at": at, "n": n, "keys": keys, "first": one, "of": of, "contexts": below["keys"][contexts], "context_of": slot[context], "trained": np.bincount(of[self.train[at]], minlength=len(keys))}
+        if 10 * d + _COUNT in self.got or not len(keys):
             out["total"], out["own"] = self.totals(10 * d + _COUNT)
             if d < self.depth:
-                out["grams"] = np.zeros(len(self.of), np.uint64)
-                out["grams"][at] = keys
+                out["number"] = np.zeros(len(self.of), np.int64)
+                out["number"][at] = of
+                out["size"] = max(1, len(keys))
                 out["counts"] = np.zeros(len(self.of))
                 out["counts"][at] = out["total"][of]
         self.levels[d] = out
@@ -138,7 +152,7 @@ class Shard:
 
     def counts_asked(self, d: int):
         x = self.level(d)
-        return x["distinct"], x["trained"]
+        return x["keys"], x["trained"]
 
     def distinct_asked(self, d: int):
         x = self.level(d)
@@ -190,8 +204,9 @@ def _asking(wanted: list[tuple[int, str, int]], buckets: int, settings: dict):
         for kind, ask, d in wanted:
             keys, values = getattr(shard, ask)(*[d] * (ask != "words"))
             values = values.astype(np.uint32 if kind % 10 == _COUNT else np.float64)
-            cut = np.searchsorted(((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
-            rows += [(kind, b, shard.chunk, None, keys[i:j].tobytes(), values[i:j].tobytes(), None, None) for b, (i, j) in enumerate(zip(cut, cut[1:])) if i < j]
+            keys = keys >> np.uint64(8)
+            cut = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1, dtype=np.uint64)).tolist()
+            rows += [(kind, b, shard.chunk, None, pack_keys(keys[i:j], bucket_start(b, buckets)), values[i:j].tobytes(), None, None) for b, (i, j) in enumerate(zip(cut, cut[1:])) if i < j]
         out = _table(rows)
         del shard
         give_back()
@@ -205,7 +220,7 @@ def _totalling(key, table):
     kind, bucket = key[0].as_py(), key[1].as_py()
     dtype = np.uint32 if kind % 10 == _COUNT else np.float64
     rows = sorted(zip(table["chunk"].to_pylist(), table["a"].to_pylist(), table["b"].to_pylist()))
-    keys = [np.frombuffer(a, np.uint64) for _, a, _ in rows]
+    keys = [unpack_keys(a) for _, a, _ in rows]
     ends = np.cumsum([len(k) for k in keys])
     every, values = np.concatenate(keys), np.concatenate([np.frombuffer(b, dtype) for _, _, b in rows]).astype(np.float64)
     order = np.argsort(every, kind="stable")
@@ -234,7 +249,7 @@ def _scoring(settings: dict):
 def suffix_tree_scores(docs: DataFrame, depth: int = DEPTH, min_count: int = MIN_COUNT, min_gain: float = MIN_GAIN, folds: int = FOLDS, text: str = "text", id: str = "doc_id") -> DataFrame:
     """Rows (id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
     own = only(docs, id, text).toDF("id", "text").withColumn("id", F.col("id").cast("long"))
-    buckets = 2 * shuffle_parts(own.sparkSession)
+    buckets = max(LEAST_BUCKETS, 2 * shuffle_parts(own.sparkSession))
     settings = {"depth": depth, "min_count": min_count, "min_gain": min_gain, "folds": folds, "tokens": 0, "distinct": 0}
     shards = materialize(own.mapInArrow(thrifty(_shards), _ROW), "shards")
     known: list[DataFrame] = []
@@ -246,8 +261,7 @@ def suffix_tree_scores(docs: DataFrame, depth: int = DEPTH, min_count: int = MIN
         return out.groupBy("chunk")
 
     def exchange(wanted: list[tuple[int, str, int]]) -> None:
-        asked = with_known().applyInArrow(_asking(wanted, buckets, settings), _ROW)
-        known.append(materialize(asked.groupBy("kind", "bucket").applyInArrow(_totalling, _ROW), "totals"))
+        known.append(materialize(with_known().applyInArrow(_asking(wanted, buckets, settings), _ROW).groupBy("kind", "bucket").applyInArrow(_totalling, _ROW), "totals"))
 
     exchange([(_COUNT, "words", 0)])
     sums = known[0].where(F.col("kind") == _TOTALS).agg(F.sum(F.col("ids")[0]), F.sum(F.col("ids")[1])).first()
@@ -255,8 +269,7 @@ def suffix_tree_scores(docs: DataFrame, depth: int = DEPTH, min_count: int = MIN
     for step in range(1, depth + 3):
         wanted = [(10 * step + _COUNT, "counts_asked", step), (10 * (step - 1) + _DISTINCT, "distinct_asked", step - 1), (10 * (step - 2) + _GAIN, "gains_asked", step - 2)]
         exchange([w for w in wanted if 1 <= w[2] <= depth])
-    scored = with_known().applyInArrow(_scoring(settings), "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    out = materialize(scored, "scores")
+    out = materialize(with_known().applyInArrow(_scoring(settings), "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"), "scores")
     for x in (shards, *known):
         drop(x)
     return out.select(F.col("id").alias(id), "held_out", "n_tokens", "n_known", F.lit(settings["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
