@@ -14,8 +14,6 @@ gives no hits or no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -237,13 +235,8 @@ def _kernel(phrases: Phrases):
     return kernel
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", id: str = "doc_id", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Rows (id, n_words, starts, ends, items): merged spans of hit words and the items found.
-
-    The benchmark goes to the executors in blocks of at most ``block_words`` words (an item more),
-    so what travels is bounded however large it is; spans of several blocks are merged by id.
-    """
-    own = only(docs, id, text).withColumnsRenamed({id: "id", text: "text"}).withColumn("id", F.col("id").cast("long"))
+def _blocks(benchmark: DataFrame, item: str, item_text: str, window: int, block_words: int) -> list[Phrases]:
+    """The benchmark's phrases, in blocks of at most ``block_words`` words (an item more)."""
     rows = only(benchmark, item, item_text).where(F.col(f"`{item_text}`").isNotNull()).select(F.col(f"`{item}`").cast("string"), F.col(f"`{item_text}`"))
     blocks, block, size = [], [], 0
     for i, t in rows.orderBy(*rows.columns).toLocalIterator():
@@ -254,6 +247,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", id:
             block, size = [], 0
     if block or not blocks:
         blocks.append(Phrases(block, window))
+    return blocks
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", id: str = "doc_id", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Rows (id, n_words, starts, ends, items): merged spans of hit words and the items found.
+
+    The benchmark goes to the executors in blocks of at most ``block_words`` words (an item more),
+    so what travels is bounded however large it is; spans of several blocks are merged by id.
+    """
+    own = only(docs, id, text).withColumnsRenamed({id: "id", text: "text"}).withColumn("id", F.col("id").cast("long"))
+    blocks = _blocks(benchmark, item, item_text, window, block_words)
     found = [own.mapInArrow(_kernel(b), _OUT) for b in blocks]
     if len(found) == 1:
         return found[0].withColumnRenamed("id", id)
@@ -304,5 +308,39 @@ def remove_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(out) + text[at:]
 
 
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", n_chars: str = "n_chars", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs`` without the words of benchmark passages, ``n_chars`` brought up to date.
+
+    A row that loses all its words goes. Where two ends that meet make up a passage, it goes too.
+    """
+
+    def cleaning(phrases: Phrases):
+        def kernel(batches):
+            for part, texts in text_slices(batches, text, 4_000_000):
+                found = hits(texts, phrases)
+                changed = [k for k, f in enumerate(found) if f[1]]
+                if not changed:
+                    yield part
+                    continue
+                at, keep = part.schema.get_field_index(text), [True] * len(texts)
+                column = part.column(at).to_pylist()
+                for k in changed:
+                    new, spans = texts[k], found[k][1]
+                    while spans:
+                        new = remove_spans(new, spans)
+                        spans = hits([new], phrases)[0][1]
+                    column[k], keep[k] = new.decode(), bool(words(new))
+                part = part.set_column(at, part.schema.field(at), pa.array(column, part.schema.field(at).type))
+                if (at := part.schema.get_field_index(n_chars)) >= 0:
+                    sizes = part.column(at).to_pylist()
+                    for k in changed:
+                        sizes[k] = len(column[k])
+                    part = part.set_column(at, part.schema.field(at), pa.array(sizes, part.schema.field(at).type))
+                yield part.filter(pa.array(keep))
+
+        return kernel
+
+    out = docs
+    for block in _blocks(benchmark, item, item_text, window, block_words):
+        out = out.mapInArrow(cleaning(block), docs.schema)
+    return out

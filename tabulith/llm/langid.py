@@ -206,14 +206,15 @@ def fit(labelled: DataFrame, vocabulary: str, text: str = "text", lang: str = "l
     return Model(languages, pieces, table)
 
 
-def _predict(model: Model, limit: int = 300_000):
+def _predict(model: Model, use, text: str = "text", limit: int = 300_000):
+    """Kernel that yields ``use(batch, languages, scores)`` for every slice."""
     languages, pieces, table = model.languages, model.pieces, model.table
 
     def kernel(batches):
         number: dict[bytes, int] = {}
         logs = np.zeros((0, len(languages)))
         letter = np.zeros(0, bool)
-        for part, texts in text_slices(batches):
+        for part, texts in text_slices(batches, text):
             if len(number) > limit:
                 number.clear()
                 logs, letter = logs[:0], letter[:0]
@@ -241,7 +242,7 @@ def _predict(model: Model, limit: int = 300_000):
             best = odds.argmax(axis=1)
             score = np.where(with_letter, odds.max(axis=1) / odds.sum(axis=1), 0.0)
             names = [languages[b] if ok else "und" for b, ok in zip(best, with_letter)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(score)], names=["id", "lang_pred", "score"])
+            yield use(part, names, score)
 
     return kernel
 
@@ -252,7 +253,16 @@ def predict(docs: DataFrame, model: Model, text: str = "text", id: str = "doc_id
     kind = own.schema["id"].dataType.simpleString()
     if not model.languages:
         return own.select(F.col("id").alias(id), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    return own.mapInArrow(_predict(model), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id)
+    row = lambda part, names, score: pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(score)], names=["id", "lang_pred", "score"])
+    return own.mapInArrow(_predict(model, row), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id)
+
+
+def keep_known(docs: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with a language whose score is ``least`` or more; without a model, all."""
+    if not model.languages:
+        return docs
+    sure = lambda part, names, score: part.filter(pa.array([n != "und" and s >= least for n, s in zip(names, score)], pa.bool_()))
+    return docs.mapInArrow(_predict(model, sure, text), docs.schema)
 
 
 def held_out(id: F.Column, folds: int) -> F.Column:

@@ -38,7 +38,7 @@ def line_words(line: Column) -> Column:
     return F.split(F.btrim(F.lower(line), F.lit(" \t\r\x0b\x0c")), r"[ \t\r\x0b\f]+")
 
 
-def _half_keys(words: Column, n: Column) -> Column:
+def _half_keys(words: Column, n: Column) -> list[Column]:
     """Hashes of both halves as a line of n words has them, and as one of n - 1 words would."""
     keys = []
     for c in (n, n - 1):
@@ -46,63 +46,70 @@ def _half_keys(words: Column, n: Column) -> Column:
         size = c.cast("int")
         keys.append(F.xxhash64(F.lit("first"), size, F.slice(words, 1, half)))
         keys.append(F.xxhash64(F.lit("last"), size, F.slice(words, -(size - half), size - half)))
-    return F.array(*keys)
+    return keys
+
+
+# A line's place is one number, so that the earliest is a minimum without structs or sorts.
+_LINES = 1 << 31
+_NO_ID = "10000000000000000000"
+
+
+def _place(id: Column, line: Column) -> Column:
+    return (F.coalesce(id.cast("decimal(20,0)"), F.lit(_NO_ID).cast("decimal(20,0)")) * F.lit(_LINES).cast("decimal(10,0)") + line.cast("decimal(10,0)")).cast("decimal(38,0)")
+
+
+def _id_and_line(place: str) -> list[Column]:
+    line = F.expr(f"cast(pmod({place}, {_LINES}) as int)")
+    return [F.expr(f"if({place} >= {_NO_ID}BD * {_LINES}, null, ({place} - pmod({place}, {_LINES})) div {_LINES})").alias("id"), line.alias("line")]
 
 
 def near_lines(docs: DataFrame, min_words: int = MIN_WORDS, words_per_edit: int = WORDS_PER_EDIT) -> DataFrame:
     """Rows (id, lines): the numbers, from 0, of the lines to remove; ``docs`` has id and text."""
     lines = docs.select("id", F.posexplode(F.split("text", "\n")).alias("line", "raw")).where(F.length("raw") >= 2 * min_words - 1)
     words = lines.select("id", "line", line_words(F.col("raw")).alias("w")).withColumn("n", F.size("w")).where(F.col("n") >= min_words)
-    hashed = materialize(
-        words.select(
-            "id", "line", "n", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit("second"), "w").alias("h2"),
-            F.when(F.col("n") >= words_per_edit, _half_keys(F.col("w"), F.col("n"))).alias("halves"),
-        ),
-        "lines",
+    halves = [F.when(F.col("n") >= words_per_edit, k).alias(f"half{i}") for i, k in enumerate(_half_keys(F.col("w"), F.col("n")))]
+    hashed = materialize(words.select(_place(F.col("id"), F.col("line")).alias("place"), F.xxhash64("w").alias("h1"), F.xxhash64(F.lit("second"), "w").alias("h2"), *halves), "lines")
+    distinct = materialize(
+        hashed.groupBy("h1", "h2").agg(F.min("place").alias("place"), (F.count("*") > 1).alias("again"), *[F.min(f"half{i}").alias(f"half{i}") for i in range(4)]), "distinct-lines"
     )
-    place = F.struct(F.col("id").isNull().alias("last"), "id", "line")
-    distinct = materialize(hashed.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.any_value("n").alias("n"), F.any_value("halves").alias("halves")), "distinct-lines")
 
-    halves = distinct.where("halves is not null").select("h1", "h2", F.explode("halves").alias("half"))
+    halves = distinct.where("half0 is not null").select("place", F.explode(F.array(*[f"half{i}" for i in range(4)])).alias("half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
-    alive = halves.join(shared, "half", "left_semi").select("h1", "h2").distinct()
-    alive = distinct.join(alive, ["h1", "h2"], "left_semi").select("place")
+    alive = halves.join(shared, "half", "left_semi").select("place").distinct()
 
     # The words of the lines that go on, from their earliest places.
-    wanted = alive.groupBy(F.col("place.id").alias("id")).agg(F.collect_set("place.line").alias("wanted"))
-    texts = docs.withColumnRenamed("id", "doc").join(wanted.hint("shuffle_hash"), F.col("doc").eqNullSafe(F.col("id"))).drop("doc")
+    wanted = alive.select(*_id_and_line("place")).groupBy(F.col("id").alias("wid")).agg(F.collect_set("line").alias("wanted"))
     found = (
-        texts.dropDuplicates(["id"])
-        .select("id", F.expr("explode(transform(array_sort(wanted), i -> struct(i as line, split(text, '\n')[i] as raw)))").alias("x"))
-        .select("id", F.col("x.line").alias("line"), line_words(F.col("x.raw")).alias("w"))
+        docs.join(wanted.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("wid")))
+        .select("id", F.expr("explode(transform(array(split(text, '\n')), all -> transform(wanted, i -> struct(i as line, all[i] as raw)))[0])").alias("x"))
+        .select(_place(F.col("id"), F.col("x.line")).alias("place"), line_words(F.col("x.raw")).alias("w"))
+        .dropDuplicates(["place"])
     )
-    found = materialize(found.select(place.alias("place"), "w", F.size("w").alias("n")), "found-lines")
+    found = materialize(found.select("place", "w", F.size("w").alias("n")), "found-lines")
 
     without = "concat(slice(w, 1, i), slice(w, i + 2, greatest(n - i - 1, 0)))"
-    variants = found.select("place", "w", "n", F.expr(f"explode(transform(sequence(0, n - 1), i -> struct(i as i, xxhash64({without}) as k1, xxhash64('second', {without}) as k2)))").alias("v")).select(
-        "place", "w", "n", "v.*"
-    )
-    whole = found.select("place", "w", "n", F.lit(-1).alias("i"), F.xxhash64("w").alias("k1"), F.xxhash64(F.lit("second"), "w").alias("k2"))
+    keyed = f"explode(transform(sequence(0, n - 1), i -> transform(array({without}), v -> struct(i as i, xxhash64(v) as k1, xxhash64('second', v) as k2))[0]))"
+    variants = materialize(found.select("place", "n", F.expr(keyed).alias("v")).select("place", "n", "v.*"), "variants")
+    whole = found.select("place", F.xxhash64("w").alias("k1"), F.xxhash64(F.lit("second"), "w").alias("k2"))
 
     # The earliest of the lines that lack the same word at the same place.
     first = variants.groupBy("k1", "k2", "n", "i").agg(F.min("place").alias("p"), F.count("*").alias("c")).where("c > 1").drop("c")
     replaced = variants.join(first, ["k1", "k2", "n", "i"]).where("place > p").select("place", "p")
     # A line and a line with one word more; whichever is later goes.
-    longer = variants.groupBy("k1", "k2").agg(F.min("place").alias("p"))
-    gained = whole.join(longer, ["k1", "k2"]).select(F.greatest("place", "p").alias("place"), F.least("place", "p").alias("p"))
-    lost = variants.join(whole.select("k1", "k2", F.col("place").alias("p")), ["k1", "k2"]).where("place > p").select("place", "p")
+    longer = variants.join(whole.select("k1", "k2", F.col("place").alias("p")), ["k1", "k2"])
+    lost = longer.where("place > p").select("place", "p")
+    gained = longer.groupBy("p").agg(F.min("place").alias("place")).where("place < p").select(F.col("p").alias("place"), F.col("place").alias("p"))
     pairs = replaced.unionByName(gained).unionByName(lost).distinct()
 
     left = found.select("place", F.col("w").alias("w1"), F.col("n").alias("n1"))
     right = found.select(F.col("place").alias("p"), F.col("w").alias("w2"), F.col("n").alias("n2"))
-    near = pairs.join(left, "place").join(right, "p").where(within_one_edit()).select(F.col("place.id").alias("id"), F.col("place.line").alias("line")).distinct()
+    near = pairs.join(left, "place").join(right, "p").where(within_one_edit()).select("place", F.lit(True).alias("near")).distinct()
 
-    earliest = distinct.select("h1", "h2", "place", F.col("place.id").alias("pid"), F.col("place.line").alias("pline"))
-    near = earliest.join(near, (F.col("pid").eqNullSafe(near["id"])) & (F.col("pline") == near["line"]), "left_semi").select("h1", "h2", F.lit(True).alias("near"))
-    verdict = distinct.select("h1", "h2", F.col("place.id").alias("pid"), F.col("place.line").alias("pline")).join(near, ["h1", "h2"], "left")
-    gone = hashed.select("id", "line", "h1", "h2").join(verdict, ["h1", "h2"]).where(F.col("near") | ~(F.col("id").eqNullSafe(F.col("pid")) & (F.col("line") == F.col("pline"))))
+    # Lines that stand there again, or are near an earlier one.
+    verdict = distinct.select("h1", "h2", "place", "again").join(near, "place", "left").where("again or near").select("h1", "h2", F.col("place").alias("earliest"), "near")
+    gone = hashed.select("place", "h1", "h2").join(verdict, ["h1", "h2"]).where("near or place != earliest").select(*_id_and_line("place"))
     out = materialize(gone.groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("lines")), "removed-lines")
-    for x in (hashed, distinct, found):
+    for x in (hashed, distinct, found, variants):
         drop(x)
     return out
 
@@ -115,17 +122,27 @@ def within_one_edit() -> Column:
     return F.expr(f"abs(n1 - n2) <= 1 and {front} + {back} >= greatest(n1, n2) - 1")
 
 
+_REST = "transform(array(split({text}, '\n')), all -> array_join(transform(array_except(sequence(0, size(all) - 1), {gone}), i -> all[i]), '\n'))[0]"
+
+
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, words_per_edit: int = WORDS_PER_EDIT, text: str = "text", id: str = "doc_id") -> DataFrame:
     """Rows (id, text, n_lines, n_removed) with the remaining text of every row."""
     own = only(docs, id, text).toDF("id", "text")
     gone = near_lines(own, min_words, words_per_edit).withColumnRenamed("id", "gid")
-    kept = F.expr(
-        "array_join(transform(array(split(text, '\n')), all -> array_join(transform(array_except(sequence(0, size(all) - 1), lines), i -> all[i]), '\n')), '')"
-    )
     joined = own.join(gone.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("gid")), "left")
     return joined.select(
         F.col("id").alias(id),
-        F.when(F.col("lines").isNull() | F.col("text").isNull(), F.col("text")).otherwise(kept).alias("text"),
+        F.when(F.col("lines").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.expr(_REST.format(text="text", gone="lines"))).alias("text"),
         (F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))), F.lit(-1)) + 1).cast("long").alias("n_lines"),
         F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"),
     )
+
+
+def dedup_documents(docs: DataFrame, min_words: int = MIN_WORDS, words_per_edit: int = WORDS_PER_EDIT, text: str = "text", id: str = "doc_id", n_chars: str = "n_chars") -> DataFrame:
+    """The rows of ``docs`` without lines that stand earlier; a row that loses all its words goes."""
+    gone = near_lines(only(docs, id, text).toDF("id", "text"), min_words, words_per_edit).toDF("__gone_id", "__gone")
+    joined = docs.join(gone.hint("shuffle_hash"), F.col(f"`{id}`").eqNullSafe(F.col("__gone_id")), "left")
+    changed = F.col("__gone").isNotNull() & F.col(f"`{text}`").isNotNull()
+    new = joined.withColumn("__text", F.when(changed, F.expr(_REST.format(text=f"`{text}`", gone="__gone"))).otherwise(F.col(f"`{text}`"))).where(~changed | F.col("__text").rlike(r"[^\x20\x09-\x0D]"))
+    columns = {text: F.col("__text"), n_chars: F.when(changed, F.length("__text").cast("long")).otherwise(F.col(f"`{n_chars}`")) if n_chars in docs.columns else None}
+    return new.select(*[(columns[c] if c in columns else F.col(f"`{c}`")).alias(c) for c in docs.columns])
