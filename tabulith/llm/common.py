@@ -69,6 +69,7 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     """Write ``df`` once to the shared folder and read it back: lineage ends there and a lost
     executor costs a re-read, not a recomputation. Removed when the process ends."""
     spark = df.sparkSession
+    release(spark)
     path = f"{shared_dir(spark)}/tabulith/{name}-{uuid.uuid4().hex}"
     _written.append((spark, path))
     writer = df.write.option("compression", "zstd")
@@ -216,3 +217,27 @@ def unpack_keys(raw: bytes) -> np.ndarray:
     out = np.zeros((len(raw) // 6, 8), np.uint8)
     out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
     return out.reshape(-1).view("<u8").astype(np.uint64)
+
+
+def order_of(codes: np.ndarray, bits: int) -> np.ndarray:
+    """Stable order of codes below 2 ** bits: code and place in one number sort faster than an argsort."""
+    place = max(1, int(len(codes) - 1).bit_length())
+    if bits + place > 64:
+        return np.argsort(codes, kind="stable")
+    packed = (codes.astype(np.uint64) << np.uint64(place)) | np.arange(len(codes), dtype=np.uint64)
+    packed.sort()
+    return (packed & np.uint64((1 << place) - 1)).astype(np.int64)
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts that are mostly small: a byte each, and the large ones in full behind them."""
+    large = counts[counts >= 255].astype("<u8")
+    return len(large).to_bytes(4, "little") + np.minimum(counts, 255).astype(np.uint8).tobytes() + large.tobytes()
+
+
+def unpack_counts(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:4], "little")
+    end = len(raw) - 8 * n
+    out = np.frombuffer(raw[4:end], np.uint8).astype(np.int64)
+    out[out == 255] = np.frombuffer(raw[end:], "<u8").astype(np.int64)
+    return out

@@ -35,7 +35,12 @@ WORDS_PER_EDIT = 10
 
 def line_words(line: Column) -> Column:
     """Lower-cased words of a line, between ASCII white space."""
-    return F.split(F.btrim(F.lower(line), F.lit(" \t\r\x0b\x0c")), r"[ \t\r\x0b\f]+")
+    bare = F.btrim(F.lower(line), F.lit(" \t\r\x0b\x0c"))
+    odd = F.contains(bare, F.lit("  "))
+    for c in "\t\r\x0b\x0c":
+        odd = odd | F.contains(bare, F.lit(c))
+    # A single space is split at without a pattern, which is most of this operator's time.
+    return F.when(odd, F.split(bare, r"[ \t\r\x0b\f]+")).otherwise(F.split(bare, " "))
 
 
 def _half_keys(words: Column, n: Column) -> list[Column]:
@@ -67,13 +72,13 @@ def near_lines(docs: DataFrame, min_words: int = MIN_WORDS, words_per_edit: int
     """Rows (id, lines): the numbers, from 0, of the lines to remove; ``docs`` has id and text."""
     lines = docs.select("id", F.posexplode(F.split("text", "\n")).alias("line", "raw")).where(F.length("raw") >= 2 * min_words - 1)
     words = lines.select("id", "line", line_words(F.col("raw")).alias("w")).withColumn("n", F.size("w")).where(F.col("n") >= min_words)
-    halves = [F.when(F.col("n") >= words_per_edit, k).alias(f"half{i}") for i, k in enumerate(_half_keys(F.col("w"), F.col("n")))]
-    hashed = materialize(words.select(_place(F.col("id"), F.col("line")).alias("place"), F.xxhash64("w").alias("h1"), F.xxhash64(F.lit("second"), "w").alias("h2"), *halves), "lines")
-    distinct = materialize(
-        hashed.groupBy("h1", "h2").agg(F.min("place").alias("place"), (F.count("*") > 1).alias("again"), *[F.min(f"half{i}").alias(f"half{i}") for i in range(4)]), "distinct-lines"
-    )
+    halves = [(k if i < 2 else F.when(F.col("n") >= words_per_edit, k)).alias(f"half{i}") for i, k in enumerate(_half_keys(F.col("w"), F.col("n")))]
+    # Hashes of the whole line and of both halves are what a line is known by.
+    same = ["whole", "half0", "half1"]
+    hashed = materialize(words.select(_place(F.col("id"), F.col("line")).alias("place"), F.xxhash64("w").alias("whole"), *halves), "lines")
+    distinct = materialize(hashed.groupBy(*same).agg(F.min("place").alias("place"), (F.count("*") > 1).alias("again"), F.min("half2").alias("half2"), F.min("half3").alias("half3")), "distinct-lines")
 
-    halves = distinct.where("half0 is not null").select("place", F.explode(F.array(*[f"half{i}" for i in range(4)])).alias("half"))
+    halves = distinct.where("half2 is not null").select("place", F.explode(F.array(*[f"half{i}" for i in range(4)])).alias("half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
     alive = halves.join(shared, "half", "left_semi").select("place").distinct()
 
@@ -87,16 +92,17 @@ def near_lines(docs: DataFrame, min_words: int = MIN_WORDS, words_per_edit: int
     )
     found = materialize(found.select("place", "w", F.size("w").alias("n")), "found-lines")
 
-    without = "concat(slice(w, 1, i), slice(w, i + 2, greatest(n - i - 1, 0)))"
-    keyed = f"explode(transform(sequence(0, n - 1), i -> transform(array({without}), v -> struct(i as i, xxhash64(v) as k1, xxhash64('second', v) as k2))[0]))"
-    variants = materialize(found.select("place", "n", F.expr(keyed).alias("v")).select("place", "n", "v.*"), "variants")
-    whole = found.select("place", F.xxhash64("w").alias("k1"), F.xxhash64(F.lit("second"), "w").alias("k2"))
+    # Variants are hashed from the words' hashes; what they pair is verified on the words.
+    hashes = found.select("place", "n", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    keyed = "explode(transform(sequence(0, n - 1), i -> struct(i as i, xxhash64(concat(slice(h, 1, i), slice(h, i + 2, greatest(n - i - 1, 0)))) as k)))"
+    variants = materialize(hashes.select("place", "n", F.expr(keyed).alias("v")).select("place", "n", "v.*"), "variants")
+    whole = hashes.select(F.col("place").alias("p"), F.xxhash64("h").alias("k"))
 
     # The earliest of the lines that lack the same word at the same place.
-    first = variants.groupBy("k1", "k2", "n", "i").agg(F.min("place").alias("p"), F.count("*").alias("c")).where("c > 1").drop("c")
-    replaced = variants.join(first, ["k1", "k2", "n", "i"]).where("place > p").select("place", "p")
+    first = variants.groupBy("k", "n", "i").agg(F.min("place").alias("p"), F.count("*").alias("c")).where("c > 1").drop("c")
+    replaced = variants.join(first, ["k", "n", "i"]).where("place > p").select("place", "p")
     # A line and a line with one word more; whichever is later goes.
-    longer = variants.join(whole.select("k1", "k2", F.col("place").alias("p")), ["k1", "k2"])
+    longer = variants.join(whole, "k")
     lost = longer.where("place > p").select("place", "p")
     gained = longer.groupBy("p").agg(F.min("place").alias("place")).where("place < p").select(F.col("p").alias("place"), F.col("place").alias("p"))
     pairs = replaced.unionByName(gained).unionByName(lost).distinct()
@@ -106,8 +112,8 @@ def near_lines(docs: DataFrame, min_words: int = MIN_WORDS, words_per_edit: int
     near = pairs.join(left, "place").join(right, "p").where(within_one_edit()).select("place", F.lit(True).alias("near")).distinct()
 
     # Lines that stand there again, or are near an earlier one.
-    verdict = distinct.select("h1", "h2", "place", "again").join(near, "place", "left").where("again or near").select("h1", "h2", F.col("place").alias("earliest"), "near")
-    gone = hashed.select("place", "h1", "h2").join(verdict, ["h1", "h2"]).where("near or place != earliest").select(*_id_and_line("place"))
+    verdict = distinct.select(*same, "place", "again").join(near, "place", "left").where("again or near").select(*same, F.col("place").alias("earliest"), "near")
+    gone = hashed.select("place", *same).join(verdict, same).where("near or place != earliest").select(*_id_and_line("place"))
     out = materialize(gone.groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("lines")), "removed-lines")
     for x in (hashed, distinct, found, variants):
         drop(x)

@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import GOLD, LEAST_BUCKETS, bucket_of, bucket_start, drop, give_back, in_worker, materialize, mix, only, pack_keys, shuffle_parts, text_slices, thrifty, unpack_keys, word_hasher
+from tabulith.llm.common import GOLD, LEAST_BUCKETS, bucket_of, bucket_start, drop, give_back, in_worker, materialize, mix, only, order_of, pack_counts, pack_keys, shuffle_parts, text_slices, thrifty, unpack_counts, unpack_keys, word_hasher
 
 DEPTH = 2
 MIN_COUNT = 8
 MIN_GAIN = 4.0
 FOLDS = 10
 ALPHA = 0.1
-SHARD_BYTES = 4_000_000
+SHARD_BYTES = 10_000_000
 #: Hash of a text's end; no word hashes to it but by chance.
 END = np.uint64(0x8000000000000001)
 
@@ -69,11 +69,31 @@ def _shards(batches):
         word[ends] = False
         flat[ends] = END
         flat[word] = np.fromiter((hashed(w) for x in lists for w in x), np.uint64, int(word.sum()))
-        vocabulary, of = np.unique(flat, return_inverse=True)
+        vocabulary, of = _numbered(flat)
         yield from _table([(_SHARD, 0, chunk, part.column(0).to_pylist(), of.astype(np.uint32).tobytes(), vocabulary.tobytes(), sizes.tobytes(), None)]).to_batches()
         chunk += 1
 
 
+def _numbered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes in order, and each one's number among them."""
+    order = order_of(hashes >> np.uint64(24), 40)
+    ordered = hashes[order]
+    if (ordered[1:] < ordered[:-1]).any():  # two that agree in 40 bits
+        return np.unique(hashes, return_inverse=True)
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    of = np.empty(len(hashes), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return ordered[new], of
+
+
+def _values(kind: int, raw: bytes) -> np.ndarray:
+    return unpack_counts(raw) if kind % 10 == _COUNT else np.frombuffer(raw, np.float64)
+
+
+def _raw(kind: int, values: np.ndarray) -> bytes:
+    return pack_counts(values) if kind % 10 == _COUNT else values.astype(np.float64).tobytes()
+
+
 class Shard:
     """A shard's texts with the totals that it has got so far."""
 
@@ -98,11 +118,11 @@ class Shard:
         self.levels: dict[int, dict] = {}
 
     def totals(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
-        dtype = np.uint32 if kind % 10 == _COUNT else np.float64
-        parts = self.got.get(kind, [])
-        values = np.concatenate([np.frombuffer(x, dtype) for x, _ in parts]) if parts else np.zeros(0, dtype)
-        own = np.concatenate([np.frombuffer(y, np.uint8) for _, y in parts]).astype(bool) if parts else np.zeros(0, bool)
-        return values.astype(np.float64), own
+        parts = [(_values(kind, x), y) for x, y in self.got.get(kind, [])]
+        if not parts:
+            return np.zeros(0), np.zeros(0, bool)
+        own = np.concatenate([np.unpackbits(np.frombuffer(y, np.uint8), count=len(x)) for x, y in parts])
+        return np.concatenate([x for x, _ in parts]).astype(np.float64), own.astype(bool)
 
     def words(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct words and how often training texts here hold them."""
@@ -122,14 +142,14 @@ class Shard:
         at, n = at[n >= self.min_count], n[n >= self.min_count]
         context = below["number"][at - 1]
         code = context * len(self.vocabulary) + self.of[at]
-        order = np.argsort(code)
+        order = order_of(code, int(below["size"] * len(self.vocabulary)).bit_length())
         new = np.diff(code[order], prepend=-1) != 0
         of = np.empty(len(code), np.int64)
         of[order] = np.cumsum(new) - 1
         one = order[new]  # a position of each distinct gram
         keys = mix((below["keys"][context[one]] * GOLD) ^ mix(self.vocabulary[self.of[at[one]]] + np.uint64(d)))
         # Grams in the order of their keys, as the buckets answer.
-        rank = np.argsort(keys)
+        rank = order_of(keys >> np.uint64(24), 40)
         back = np.empty(len(rank), np.int64)
         back[rank] = np.arange(len(rank))
         of, one, keys = back[of], one[rank], keys[rank]
@@ -203,10 +223,9 @@ def _asking(wanted: list[tuple[int, str, int]], buckets: int, settings: dict):
         shard, rows = Shard(table, settings), []
         for kind, ask, d in wanted:
             keys, values = getattr(shard, ask)(*[d] * (ask != "words"))
-            values = values.astype(np.uint32 if kind % 10 == _COUNT else np.float64)
             keys = keys >> np.uint64(8)
             cut = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1, dtype=np.uint64)).tolist()
-            rows += [(kind, b, shard.chunk, None, pack_keys(keys[i:j], bucket_start(b, buckets)), values[i:j].tobytes(), None, None) for b, (i, j) in enumerate(zip(cut, cut[1:])) if i < j]
+            rows += [(kind, b, shard.chunk, None, pack_keys(keys[i:j], bucket_start(b, buckets)), _raw(kind, values[i:j]), None, None) for b, (i, j) in enumerate(zip(cut, cut[1:])) if i < j]
         out = _table(rows)
         del shard
         give_back()
@@ -218,20 +237,18 @@ def _asking(wanted: list[tuple[int, str, int]], buckets: int, settings: dict):
 def _totalling(key, table):
     """One bucket of one kind: totals of its keys, for every shard that asked, and who came first."""
     kind, bucket = key[0].as_py(), key[1].as_py()
-    dtype = np.uint32 if kind % 10 == _COUNT else np.float64
     rows = sorted(zip(table["chunk"].to_pylist(), table["a"].to_pylist(), table["b"].to_pylist()))
     keys = [unpack_keys(a) for _, a, _ in rows]
     ends = np.cumsum([len(k) for k in keys])
-    every, values = np.concatenate(keys), np.concatenate([np.frombuffer(b, dtype) for _, _, b in rows]).astype(np.float64)
-    order = np.argsort(every, kind="stable")
+    every, values = np.concatenate(keys), np.concatenate([_values(kind, b) for _, _, b in rows]).astype(np.float64)
+    order = order_of(every, 48)
     new = np.concatenate([[True], np.diff(every[order]) != 0])
     group = np.cumsum(new) - 1
     sums = np.bincount(group, values[order])
     total, own = np.empty(len(every)), np.zeros(len(every), np.uint8)
     total[order] = sums[group]
     own[order[new]] = 1
-    total = np.minimum(total, 2**32 - 1).astype(np.uint32) if dtype is np.uint32 else total
-    out = [(kind, bucket, c, None, total[e - len(k) : e].tobytes(), own[e - len(k) : e].tobytes(), None, None) for (c, _, _), k, e in zip(rows, keys, ends)]
+    out = [(kind, bucket, c, None, _raw(kind, total[e - len(k) : e]), np.packbits(own[e - len(k) : e]).tobytes(), None, None) for (c, _, _), k, e in zip(rows, keys, ends)]
     if kind == _COUNT:
         out.append((_TOTALS, bucket, -1, [int(sums.sum()), int((sums > 0).sum())], None, None, None, None))
     return _table(out)
