@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from tabulith.queries import pages, values  # noqa: F401
+from tabulith.queries.base import ORACLE_SQL, QUERIES  # noqa: F401
 
 
 def FLAGSHIP(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return QUERIES["value_parse"](spark, sf_dir)
