@@ -11,7 +11,8 @@ itself or not.
 2. Lines within one edit share a half: one edit leaves the words before or after the middle as
    they were. A line none of whose halves stands in another distinct line has no like line, so
    only the others go on. This loses nothing.
-3. Those emit all variants with one word deleted, as hashed keys, and themselves. Lines that
+3. Those emit all variants with one word deleted that the shared halves allow, as hashed keys, and
+   themselves. Lines that
    agree in a variant and in the place of the deletion differ in that word alone; a line that
    equals a variant of another lacks one of its words. Each key keeps its earliest line, so a key
    of any size costs a row a line and no pairs.
@@ -35,12 +36,7 @@ WORDS_PER_EDIT = 10
 
 def line_words(line: Column) -> Column:
     """Lower-cased words of a line, between ASCII white space."""
-    bare = F.btrim(F.lower(line), F.lit(" \t\r\x0b\x0c"))
-    odd = F.contains(bare, F.lit("  "))
-    for c in "\t\r\x0b\x0c":
-        odd = odd | F.contains(bare, F.lit(c))
-    # A single space is split at without a pattern, which is most of this operator's time.
-    return F.when(odd, F.split(bare, r"[ \t\r\x0b\f]+")).otherwise(F.split(bare, " "))
+    return F.split(F.btrim(F.lower(line), F.lit(" \t\r\x0b\x0c")), r"[ \t\r\x0b\f]+")
 
 
 def _half_keys(words: Column, n: Column) -> list[Column]:
@@ -71,16 +67,20 @@ def _id_and_line(place: str) -> list[Column]:
 def near_lines(docs: DataFrame, min_words: int = MIN_WORDS, words_per_edit: int = WORDS_PER_EDIT) -> DataFrame:
     """Rows (id, lines): the numbers, from 0, of the lines to remove; ``docs`` has id and text."""
     lines = docs.select("id", F.posexplode(F.split("text", "\n")).alias("line", "raw")).where(F.length("raw") >= 2 * min_words - 1)
-    words = lines.select("id", "line", line_words(F.col("raw")).alias("w")).withColumn("n", F.size("w")).where(F.col("n") >= min_words)
+    # Short lines go after this step: a filter on the words here would split every line twice.
+    words = lines.select("id", "line", line_words(F.col("raw")).alias("w")).withColumn("n", F.size("w"))
     halves = [(k if i < 2 else F.when(F.col("n") >= words_per_edit, k)).alias(f"half{i}") for i, k in enumerate(_half_keys(F.col("w"), F.col("n")))]
     # Hashes of the whole line and of both halves are what a line is known by.
     same = ["whole", "half0", "half1"]
-    hashed = materialize(words.select(_place(F.col("id"), F.col("line")).alias("place"), F.xxhash64("w").alias("whole"), *halves), "lines")
-    distinct = materialize(hashed.groupBy(*same).agg(F.min("place").alias("place"), (F.count("*") > 1).alias("again"), F.min("half2").alias("half2"), F.min("half3").alias("half3")), "distinct-lines")
+    hashed = materialize(words.select(_place(F.col("id"), F.col("line")).alias("place"), "n", F.xxhash64("w").alias("whole"), *halves), "lines")
+    hashed_path, hashed = hashed, hashed.where(F.col("n") >= min_words)
+    distinct = materialize(hashed.groupBy(*same).agg(F.min("place").alias("place"), F.min("n").alias("n"), (F.count("*") > 1).alias("again"), F.min("half2").alias("half2"), F.min("half3").alias("half3")), "distinct-lines")
 
-    halves = distinct.where("half2 is not null").select("place", F.explode(F.array(*[f"half{i}" for i in range(4)])).alias("half"))
+    # A shared first half leaves the edit to the words behind it, a shared last one to those before.
+    sides = F.array(*[F.struct(F.col(f"half{i}").alias("half"), F.lit(i % 2 == 0).alias("first")) for i in range(4)])
+    halves = distinct.where("half2 is not null").select("place", F.explode(sides).alias("x")).select("place", "x.*")
     shared = halves.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
-    alive = halves.join(shared, "half", "left_semi").select("place").distinct()
+    alive = halves.join(shared, "half", "left_semi").groupBy("place").agg(F.max("first").alias("behind"), F.max(~F.col("first")).alias("before"))
 
     # The words of the lines that go on, from their earliest places.
     wanted = alive.select(*_id_and_line("place")).groupBy(F.col("id").alias("wid")).agg(F.collect_set("line").alias("wanted"))
@@ -90,11 +90,11 @@ def near_lines(docs: DataFrame, min_words: int = MIN_WORDS, words_per_edit: int
         .select(_place(F.col("id"), F.col("x.line")).alias("place"), line_words(F.col("x.raw")).alias("w"))
         .dropDuplicates(["place"])
     )
-    found = materialize(found.select("place", "w", F.size("w").alias("n")), "found-lines")
+    found = materialize(found.select("place", "w", F.size("w").alias("n")).join(alive, "place"), "found-lines")
 
     # Variants are hashed from the words' hashes; what they pair is verified on the words.
-    hashes = found.select("place", "n", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-    keyed = "explode(transform(sequence(0, n - 1), i -> struct(i as i, xxhash64(concat(slice(h, 1, i), slice(h, i + 2, greatest(n - i - 1, 0)))) as k)))"
+    hashes = found.select("place", "n", "behind", "before", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    keyed = "explode(transform(sequence(if(before, 0, (n - 1) div 2), if(behind, n - 1, n div 2 + 1)), i -> struct(i as i, xxhash64(concat(slice(h, 1, i), slice(h, i + 2, greatest(n - i - 1, 0)))) as k)))"
     variants = materialize(hashes.select("place", "n", F.expr(keyed).alias("v")).select("place", "n", "v.*"), "variants")
     whole = hashes.select(F.col("place").alias("p"), F.xxhash64("h").alias("k"))
 
@@ -115,7 +115,7 @@ def near_lines(docs: DataFrame, min_words: int = MIN_WORDS, words_per_edit: int
     verdict = distinct.select(*same, "place", "again").join(near, "place", "left").where("again or near").select(*same, F.col("place").alias("earliest"), "near")
     gone = hashed.select("place", *same).join(verdict, same).where("near or place != earliest").select(*_id_and_line("place"))
     out = materialize(gone.groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("lines")), "removed-lines")
-    for x in (hashed, distinct, found, variants):
+    for x in (hashed_path, distinct, found, variants):
         drop(x)
     return out
 
