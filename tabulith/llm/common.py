@@ -130,12 +130,13 @@ def text_slices(batches, text: str = "text", size: int = SLICE_BYTES, rows: int
             start = stop
 
 
-def give_back() -> None:
+def give_back(collect: bool = True) -> None:
     """Return a worker's free memory to the system: workers are kept for other stages' tasks."""
     import ctypes
     import gc
 
-    gc.collect()
+    if collect:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -156,12 +157,15 @@ def thrifty(kernel):
 
 
 def in_worker(name: str, make):
-    """What ``make`` gives, made once in a Python worker and kept for its later tasks."""
+    """What ``make`` gives, made once in a Python worker and kept until another name is asked for:
+    a worker serves many stages, and holds the memory of one."""
     import sys
     import types
 
     kept = sys.modules.setdefault("_tabulith_worker", types.ModuleType("_tabulith_worker")).__dict__
     if name not in kept:
+        for old in [k for k in kept if not k.startswith("__")]:
+            del kept[old]
         kept[name] = make()
     return kept[name]
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import only, text_slices
+from tabulith.llm.common import only, text_slices, thrifty
 
 #: ASCII letters in lower case, digits as they are, all other ASCII characters as space.
 WORD_TABLE = bytes(
@@ -258,7 +258,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", id:
     """
     own = only(docs, id, text).withColumnsRenamed({id: "id", text: "text"}).withColumn("id", F.col("id").cast("long"))
     blocks = _blocks(benchmark, item, item_text, window, block_words)
-    found = [own.mapInArrow(_kernel(b), _OUT) for b in blocks]
+    found = [own.mapInArrow(thrifty(_kernel(b)), _OUT) for b in blocks]
     if len(found) == 1:
         return found[0].withColumnRenamed("id", id)
     out = found[0]
@@ -342,5 +342,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", n_chars: st
 
     out = docs
     for block in _blocks(benchmark, item, item_text, window, block_words):
-        out = out.mapInArrow(cleaning(block), docs.schema)
+        out = out.mapInArrow(thrifty(cleaning(block)), docs.schema)
     return out

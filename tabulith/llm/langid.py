@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import only, text_slices
+from tabulith.llm.common import only, text_slices, thrifty
 
 #: Letters scored in one forward pass.
 MAX_WORD = 40
@@ -185,7 +185,7 @@ def fit(labelled: DataFrame, vocabulary: str, text: str = "text", lang: str = "l
     share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, sample_texts / sizes[k]))])
     draw = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)) / (1 << 30)
     sample = own.where(F.coalesce(draw < share[F.col("lang")], F.lit(False))).select("lang", "text")
-    counts = sample.mapInArrow(_count_words, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(thrifty(_count_words), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     from pyspark.sql import Window
 
     top = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("r") <= sample_words)
@@ -254,7 +254,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", id: str = "doc_id
     if not model.languages:
         return own.select(F.col("id").alias(id), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     row = lambda part, names, score: pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(score)], names=["id", "lang_pred", "score"])
-    return own.mapInArrow(_predict(model, row), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id)
+    return own.mapInArrow(thrifty(_predict(model, row)), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id)
 
 
 def keep_known(docs: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
@@ -262,7 +262,7 @@ def keep_known(docs: DataFrame, model: Model, least: float, text: str = "text")
     if not model.languages:
         return docs
     sure = lambda part, names, score: part.filter(pa.array([n != "und" and s >= least for n, s in zip(names, score)], pa.bool_()))
-    return docs.mapInArrow(_predict(model, sure, text), docs.schema)
+    return docs.mapInArrow(thrifty(_predict(model, sure, text)), docs.schema)
 
 
 def held_out(id: F.Column, folds: int) -> F.Column:

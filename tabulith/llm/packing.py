@@ -37,7 +37,7 @@ SLACK = 1 / 256
 LOCAL_PIECES = 200_000
 
 
-def encoder(path: str, limit: int = 500_000):
+def encoder(path: str, limit: int = 300_000):
     """Function: texts (bytes) -> their ids as little-endian unsigned 32-bit bytes, as the library gives.
 
     Byte-level BPE merges within the stretches of its splitting pattern alone, so each distinct
