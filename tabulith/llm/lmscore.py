@@ -11,7 +11,7 @@ a state at every word.
 Nothing of the model is gathered anywhere. Texts become shards of word hashes. For each kind of
 count a shard asks buckets of keys for totals, sending its distinct keys with its own counts, and
 gets the totals back in the same order, so each key costs one entry a shard however frequent it
-is. Counts of level d, distinct next words of level d - 1 and gains of level d - 2 travel in one
+is. Grams of words that one shard alone holds are not asked for. Counts of level d, distinct next words of level d - 1 and gains of level d - 2 travel in one
 exchange. What is sent grows with the text.
 
 Defined results: a null or empty text is its end alone; null ids count as training texts; repeated
@@ -158,9 +158,13 @@ class Shard:
         contexts = np.flatnonzero(seen)
         slot = np.zeros(below["size"], np.int64)
         slot[contexts] = np.arange(len(contexts))
-        out = {"at": at, "n": n, "keys": keys, "first": one, "of": of, "contexts": below["keys"][contexts], "context_of": slot[context], "trained": np.bincount(of[self.train[at]], minlength=len(keys))}
-        if 10 * d + _COUNT in self.got or not len(keys):
-            out["total"], out["own"] = self.totals(10 * d + _COUNT)
+        # A word that no other shard holds has all its grams here: nothing to ask.
+        alone = self.totals(_COUNT)[1][self.of[at[one]]]
+        trained = np.bincount(of[self.train[at]], minlength=len(keys))
+        out = {"at": at, "n": n, "keys": keys, "ask": ~alone, "first": one, "of": of, "contexts": below["keys"][contexts], "context_of": slot[context], "trained": trained}
+        if 10 * d + _COUNT in self.got or alone.all():
+            out["total"], out["own"] = trained.astype(np.float64), alone.copy()
+            out["total"][~alone], out["own"][~alone] = self.totals(10 * d + _COUNT)
             if d < self.depth:
                 out["number"] = np.zeros(len(self.of), np.int64)
                 out["number"][at] = of
@@ -172,7 +176,7 @@ class Shard:
 
     def counts_asked(self, d: int):
         x = self.level(d)
-        return x["keys"], x["trained"]
+        return x["keys"][x["ask"]], x["trained"][x["ask"]]
 
     def distinct_asked(self, d: int):
         x = self.level(d)
@@ -228,14 +232,15 @@ def _asking(wanted: list[tuple[int, str, int]], buckets: int, settings: dict):
             rows += [(kind, b, shard.chunk, None, pack_keys(keys[i:j], bucket_start(b, buckets)), _raw(kind, values[i:j]), None, None) for b, (i, j) in enumerate(zip(cut, cut[1:])) if i < j]
         out = _table(rows)
         del shard
-        give_back()
+        give_back(collect=False)
         return out
 
     return kernel
 
 
 def _totalling(key, table):
-    """One bucket of one kind: totals of its keys, for every shard that asked, and who came first."""
+    """One bucket of one kind: totals of its keys, for every shard that asked, and who came first;
+    of words instead, whether one shard alone asked."""
     kind, bucket = key[0].as_py(), key[1].as_py()
     rows = sorted(zip(table["chunk"].to_pylist(), table["a"].to_pylist(), table["b"].to_pylist()))
     keys = [unpack_keys(a) for _, a, _ in rows]
@@ -247,7 +252,10 @@ def _totalling(key, table):
     sums = np.bincount(group, values[order])
     total, own = np.empty(len(every)), np.zeros(len(every), np.uint8)
     total[order] = sums[group]
-    own[order[new]] = 1
+    if kind == _COUNT:
+        own[order] = (np.bincount(group) == 1)[group]
+    else:
+        own[order[new]] = 1
     out = [(kind, bucket, c, None, _raw(kind, total[e - len(k) : e]), np.packbits(own[e - len(k) : e]).tobytes(), None, None) for (c, _, _), k, e in zip(rows, keys, ends)]
     if kind == _COUNT:
         out.append((_TOTALS, bucket, -1, [int(sums.sum()), int((sums > 0).sum())], None, None, None, None))
@@ -257,7 +265,7 @@ def _totalling(key, table):
 def _scoring(settings: dict):
     def kernel(key, table):
         out = Shard(table, settings).scores()
-        give_back()
+        give_back(collect=False)
         return out
 
     return kernel
