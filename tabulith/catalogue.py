@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tabulith.queries import pages, values  # noqa: F401
+from tabulith.queries import pages, statement, tables, values  # noqa: F401
 from tabulith.queries.base import ORACLE_SQL, QUERIES  # noqa: F401
 
 
 def FLAGSHIP(spark, sf_dir):
-    return QUERIES["value_parse"](spark, sf_dir)
+    return QUERIES["statement_roundtrip"](spark, sf_dir)
