@@ -13,7 +13,7 @@ def read_csv_labels(spark: SparkSession, path: str) -> DataFrame:
 
     A file whose first cell is ``NOT_A_TABLE`` is a negative; codes may follow it.
     """
-    lines = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     rows = lines.select("file", F.posexplode(F.split("value", "\r?\n")).alias("row_idx", "line"))
     cells = rows.select("file", "row_idx", F.transform(F.split("line", ',(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, '^"|"$', ""), '""', '"'))).alias("cells"))
     named = cells.select(
