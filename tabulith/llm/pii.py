@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from tabulith.llm.common import only
 
 ROUNDS = 8
+#: Characters that are moved within their class; the small letters with accents are two classes more.
+_MOVED = "0-9A-Za-zà-öø-ÿ"
 MARK, ESCAPE = "\u0001", "\u0002"
 
 # The patterns of each kind, in the order in which they are tried.
@@ -60,7 +62,8 @@ def _shift(chars: Column, digest: Column) -> Column:
         code = F.ascii(c)
         step = F.conv(F.substring(digest, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("int")
         within = lambda low, n: F.char(F.lit(low) + (code - low + step) % n)
-        return F.when(c.between("0", "9"), within(48, 10)).when(c.between("a", "z"), within(97, 26)).when(c.between("A", "Z"), within(65, 26)).otherwise(c)
+        out = F.when(c.between("0", "9"), within(48, 10)).when(c.between("a", "z"), within(97, 26)).when(c.between("A", "Z"), within(65, 26))
+        return out.when(c.between("à", "ö"), within(224, 23)).when(c.between("ø", "ÿ"), within(248, 8)).otherwise(c)
 
     return F.transform(chars, moved)
 
@@ -94,7 +97,7 @@ def feistel_number(a: Column, b: Column, size_a: int, size_b: int, key: str, twe
 
 
 def _only_chars(s: Column) -> Column:
-    return F.regexp_replace(s, "[^0-9A-Za-z]", "")
+    return F.regexp_replace(s, f"[^{_MOVED}]", "")
 
 
 def _in_place(s: Column, new: Column) -> Column:
@@ -103,7 +106,7 @@ def _in_place(s: Column, new: Column) -> Column:
 
     def put(state, c):
         return F.when(
-            c.rlike("[0-9A-Za-z]"), F.struct(F.concat(state["out"], F.substring(new, state["k"], F.lit(1))).alias("out"), (state["k"] + 1).alias("k"))
+            c.rlike(f"[{_MOVED}]"), F.struct(F.concat(state["out"], F.substring(new, state["k"], F.lit(1))).alias("out"), (state["k"] + 1).alias("k"))
         ).otherwise(F.struct(F.concat(state["out"], c).alias("out"), state["k"].alias("k")))
 
     return F.aggregate(F.split(s, ""), start, put, lambda x: x["out"])

@@ -112,6 +112,7 @@ def test_formats(spark):
                 assert all(0 <= int(x) < 256 for x in new.split("."))
             if kind == "date" and "-" in v:
                 date.fromisoformat(new)
+    assert not run(spark, ["éèü@mail1.example.com"])[0][0].startswith("éèü@")
     same = run(spark, ["4539578763621486", "4539 5787 6362 1486"])
     assert same[0][0] == same[1][0].replace(" ", "")
     assert run(spark, ['token = "abcdefg1"'])[0][2] == ["secret"]
