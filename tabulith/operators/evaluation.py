@@ -46,7 +46,7 @@ def structure_similarity(rows: DataFrame, keys: list[str]) -> DataFrame:
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
 
-    return rows.groupBy(*keys).agg(F.avg("r").alias("similarity")) if "r" in rows.columns else rows.withColumn("r", ratio("a", "b")).groupBy(*keys).agg(F.avg("r").alias("similarity"))
+    return rows.withColumn("r", ratio("a", "b")).groupBy(*keys).agg(F.avg("r").alias("similarity"))
 
 
 def align_rows(found: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
@@ -100,6 +100,32 @@ def align_rows_by_figures(found: DataFrame, wanted: DataFrame, keys: list[str],
     return cols(found, 0).unionByName(cols(wanted, 1)).groupBy(*keys).applyInPandas(align, ", ".join(f"{k} {types[k]}" for k in keys) + ", found_row long, wanted_row long")
 
 
+def evaluate(found: DataFrame, wanted: DataFrame, least: float = 0.5) -> DataFrame:
+    """Labelled tables against the best table of their page.
+
+    ``found`` has doc_id, page_no, table_idx, row_idx, col_idx, text; ``wanted`` label_id, doc_id,
+    page_no, row_idx, col_idx, text. Rows (label_id, table_idx, overlap, n_cells, n_found, n_exact,
+    same_shape), with no table where none overlaps enough: cells that were never found count in
+    ``n_cells``, and ``n_found`` says how many of them have a cell to compare with.
+    """
+    labels = wanted.select("label_id", "doc_id", "page_no").distinct()
+    pairs = ["label_id", "table_idx"]
+    near = found.join(labels, ["doc_id", "page_no"])
+    tables = near.select(*pairs).distinct()
+    overlaps = content_overlap(near, wanted.join(tables, "label_id"), pairs)
+    best = overlaps.where(F.col("overlap") >= least).groupBy("label_id").agg(F.max_by(F.struct("table_idx", "overlap"), F.struct("overlap", -F.col("table_idx"))).alias("b")).select("label_id", "b.*")
+    have, want = near.join(best.select(*pairs), pairs), wanted.join(best.select(*pairs), "label_id")
+    label = lambda d: d.where("col_idx = 0").select(*pairs, "row_idx", F.col("text").alias("label"))
+    rows = align_rows(label(have), label(want), pairs)
+    h = have.select(*pairs, F.col("row_idx").alias("found_row"), "col_idx", norm(F.col("text")).alias("h"))
+    w = want.select(*pairs, F.col("row_idx").alias("wanted_row"), "col_idx", norm(F.col("text")).alias("w"))
+    compared = w.join(rows, [*pairs, "wanted_row"], "left").join(h, [*pairs, "found_row", "col_idx"], "left")
+    counts = compared.groupBy("label_id").agg(F.count("*").alias("n_cells"), F.count("h").alias("n_found"), F.sum(F.coalesce(F.col("h") == F.col("w"), F.lit(False)).cast("long")).alias("n_exact"))
+    shape = lambda d, p: d.groupBy("label_id").agg(F.max("row_idx").alias(f"{p}r"), F.max("col_idx").alias(f"{p}c"))
+    shapes = shape(have, "h").join(shape(want, "w"), "label_id").select("label_id", F.expr("hr = wr and hc = wc").alias("same_shape"))
+    return labels.select("label_id").distinct().join(best, "label_id", "left").join(counts, "label_id", "left").join(shapes, "label_id", "left").select("label_id", "table_idx", "overlap", "n_cells", "n_found", "n_exact", "same_shape")
+
+
 BINS = [0.0, 0.2, 0.4, 0.6, 0.8, 0.9]
 
 
