@@ -65,13 +65,19 @@ def _drop_all() -> None:
             return
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the process ends."""
+    path = f"{shared_dir(spark)}/tabulith/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends there and a lost
     executor costs a re-read, not a recomputation. Removed when the process ends."""
     spark = df.sparkSession
     release(spark)
-    path = f"{shared_dir(spark)}/tabulith/{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    path = scratch(spark, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

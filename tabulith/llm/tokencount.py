@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import in_worker, materialize, only, path_exists, shared_dir, text_slices, thrifty
+from tabulith.llm.common import in_worker, materialize, only, path_exists, scratch, text_slices, thrifty
 
 
 def tokenizer_version(path: str) -> str:
@@ -80,10 +80,10 @@ def _encode(path: str):
 
 def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, text: str = "text", id: str = "doc_id") -> DataFrame:
     """Rows (id, n_bytes, n_tokens). ``cache``: folder of the cache table, kept between calls; by
-    default a new one in the shared folder."""
+    default a new one in the shared folder, for this process alone."""
     spark = docs.sparkSession
     version = tokenizer_version(tokenizer)
-    cache = cache or f"{shared_dir(spark)}/tabulith/token-cache-{id}-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+    cache = cache or scratch(spark, "token-cache")
     own = only(docs, id, text).withColumnsRenamed({id: "id", text: "text"})
     digests = materialize(
         own.select("id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), content_digest(F.col("text")).alias("digest")),
