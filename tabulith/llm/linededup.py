@@ -2,9 +2,9 @@
 
 Two lines are alike when their lower-cased words are equal, or when both have at least
 ``words_per_edit`` words and one word inserted, deleted or replaced turns one into the other. A
-line is removed when a like line stands earlier, by document id and then line number; lines of
-fewer than ``min_words`` words are never removed. A like line counts as earlier whether it stays
-itself or not.
+line is removed when a like line stands earlier, by document id and then line number; blank lines
+are never removed, and lines of fewer than ``min_words`` words only if they are equal. A like line
+counts as earlier whether it stays itself or not.
 
 1. Lines become hashes of their words: the line's own, and of its two halves. Equal lines meet in
    one row with their earliest place.
@@ -32,11 +32,12 @@ from tabulith.llm.common import drop, materialize, only
 
 MIN_WORDS = 5
 WORDS_PER_EDIT = 10
+BLANKS = " \t\r\x0b\x0c"
 
 
 def line_words(line: Column) -> Column:
     """Lower-cased words of a line, between ASCII white space."""
-    return F.split(F.btrim(F.lower(line), F.lit(" \t\r\x0b\x0c")), r"[ \t\r\x0b\f]+")
+    return F.split(F.btrim(F.lower(line), F.lit(BLANKS)), r"[ \t\r\x0b\f]+")
 
 
 def _half_keys(words: Column, n: Column) -> list[Column]:
@@ -66,14 +67,12 @@ def _id_and_line(place: str) -> list[Column]:
 
 def near_lines(docs: DataFrame, min_words: int = MIN_WORDS, words_per_edit: int = WORDS_PER_EDIT) -> DataFrame:
     """Rows (id, lines): the numbers, from 0, of the lines to remove; ``docs`` has id and text."""
-    lines = docs.select("id", F.posexplode(F.split("text", "\n")).alias("line", "raw")).where(F.length("raw") >= 2 * min_words - 1)
-    # Short lines go after this step: a filter on the words here would split every line twice.
+    lines = docs.select("id", F.posexplode(F.split("text", "\n")).alias("line", "raw")).where(F.btrim("raw", F.lit(BLANKS)) != "")
     words = lines.select("id", "line", line_words(F.col("raw")).alias("w")).withColumn("n", F.size("w"))
-    halves = [(k if i < 2 else F.when(F.col("n") >= words_per_edit, k)).alias(f"half{i}") for i, k in enumerate(_half_keys(F.col("w"), F.col("n")))]
+    halves = [(k if i < 2 else F.when(F.col("n") >= max(words_per_edit, min_words), k)).alias(f"half{i}") for i, k in enumerate(_half_keys(F.col("w"), F.col("n")))]
     # Hashes of the whole line and of both halves are what a line is known by.
     same = ["whole", "half0", "half1"]
     hashed = materialize(words.select(_place(F.col("id"), F.col("line")).alias("place"), "n", F.xxhash64("w").alias("whole"), *halves), "lines")
-    hashed_path, hashed = hashed, hashed.where(F.col("n") >= min_words)
     distinct = materialize(hashed.groupBy(*same).agg(F.min("place").alias("place"), F.min("n").alias("n"), (F.count("*") > 1).alias("again"), F.min("half2").alias("half2"), F.min("half3").alias("half3")), "distinct-lines")
 
     # A shared first half leaves the edit to the words behind it, a shared last one to those before.
@@ -115,7 +114,7 @@ def near_lines(docs: DataFrame, min_words: int = MIN_WORDS, words_per_edit: int
     verdict = distinct.select(*same, "place", "again").join(near, "place", "left").where("again or near").select(*same, F.col("place").alias("earliest"), "near")
     gone = hashed.select("place", *same).join(verdict, same).where("near or place != earliest").select(*_id_and_line("place"))
     out = materialize(gone.groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("lines")), "removed-lines")
-    for x in (hashed_path, distinct, found, variants):
+    for x in (hashed, distinct, found, variants):
         drop(x)
     return out
 
