@@ -1,8 +1,8 @@
 """Near-duplicate lines by a deletion-neighbourhood join, in DataFrame functions alone.
 
-Two lines are alike when their lower-cased words are equal, or when both have at least
-``words_per_edit`` words and one word inserted, deleted or replaced turns one into the other. A
-line is removed when a like line stands earlier, by document id and then line number; blank lines
+Two lines are alike when their lower-cased words are equal, or when one turns into
+the other by inserting, deleting or replacing at most a word for every full ``words_per_edit``
+words (two or more) of the shorter one. A line is removed when a like line stands earlier, by document id and then line number; blank lines
 are never removed, and lines of fewer than ``min_words`` words only if they are equal. A like line
 counts as earlier whether it stays itself or not.
 
@@ -16,7 +16,9 @@ counts as earlier whether it stays itself or not.
    agree in a variant and in the place of the deletion differ in that word alone; a line that
    equals a variant of another lacks one of its words. Each key keeps its earliest line, so a key
    of any size costs a row a line and no pairs.
-4. The edit is verified on the words themselves, and the text is rebuilt without removed lines.
+4. Lines that may have k > 1 edits have k + 1 equal segments, one of which is left as it was and
+   moves by k words at most: the longer line is asked for it at all its places.
+5. Edits are verified on the words themselves, and the text is rebuilt without removed lines.
 
 Defined results: a null text stays null; an empty one stays empty; null ids come last and count as
 one document; rows of one id that are repeated are treated alike; an empty table gives no rows;
@@ -82,6 +84,8 @@ def near_lines(docs: DataFrame, min_words: int = MIN_WORDS, words_per_edit: int
     alive = halves.join(shared, "half", "left_semi").groupBy("place").agg(F.max("first").alias("behind"), F.max(~F.col("first")).alias("before"))
 
     # The words of the lines that go on, from their earliest places.
+    long_ones = distinct.where(F.col("n") >= max(2 * words_per_edit, min_words)).select("place")
+    alive = alive.join(long_ones, "place", "full")
     wanted = alive.select(*_id_and_line("place")).groupBy(F.col("id").alias("wid")).agg(F.collect_set("line").alias("wanted"))
     found = (
         docs.join(wanted.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("wid")))
@@ -90,9 +94,10 @@ def near_lines(docs: DataFrame, min_words: int = MIN_WORDS, words_per_edit: int
         .dropDuplicates(["place"])
     )
     found = materialize(found.select("place", "w", F.size("w").alias("n")).join(alive, "place"), "found-lines")
+    near_ones = found.where("behind is not null")
 
     # Variants are hashed from the words' hashes; what they pair is verified on the words.
-    hashes = found.select("place", "n", "behind", "before", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    hashes = near_ones.select("place", "n", "behind", "before", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
     keyed = "explode(transform(sequence(if(before, 0, (n - 1) div 2), if(behind, n - 1, n div 2 + 1)), i -> struct(i as i, xxhash64(concat(slice(h, 1, i), slice(h, i + 2, greatest(n - i - 1, 0)))) as k)))"
     variants = materialize(hashes.select("place", "n", F.expr(keyed).alias("v")).select("place", "n", "v.*"), "variants")
     whole = hashes.select(F.col("place").alias("p"), F.xxhash64("h").alias("k"))
@@ -106,19 +111,66 @@ def near_lines(docs: DataFrame, min_words: int = MIN_WORDS, words_per_edit: int
     gained = longer.groupBy("p").agg(F.min("place").alias("place")).where("place < p").select(F.col("p").alias("place"), F.col("place").alias("p"))
     pairs = replaced.unionByName(gained).unionByName(lost).distinct()
 
-    left = found.select("place", F.col("w").alias("w1"), F.col("n").alias("n1"))
-    right = found.select(F.col("place").alias("p"), F.col("w").alias("w2"), F.col("n").alias("n2"))
+    left = near_ones.select("place", F.col("w").alias("w1"), F.col("n").alias("n1"))
+    right = near_ones.select(F.col("place").alias("p"), F.col("w").alias("w2"), F.col("n").alias("n2"))
     near = pairs.join(left, "place").join(right, "p").where(within_one_edit()).select("place", F.lit(True).alias("near")).distinct()
+    near = materialize(near, "near-lines")
+    drop(variants)
+    more = _near_by_segments(found, near, max(2 * words_per_edit, min_words), words_per_edit)
+    near_path, near = near, near.unionByName(more)
 
     # Lines that stand there again, or are near an earlier one.
     verdict = distinct.select(*same, "place", "again").join(near, "place", "left").where("again or near").select(*same, F.col("place").alias("earliest"), "near")
     gone = hashed.select("place", *same).join(verdict, same).where("near or place != earliest").select(*_id_and_line("place"))
     out = materialize(gone.groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("lines")), "removed-lines")
-    for x in (hashed, distinct, found, variants):
+    for x in (hashed, distinct, near_path):
         drop(x)
     return out
 
 
+def _near_by_segments(found: DataFrame, near: DataFrame, least: int, words_per_edit: int) -> DataFrame:
+    """Rows (place, near) of lines of ``least`` words or more that are alike an earlier one, but for those in ``near``; ``found`` is removed once it is read."""
+    e = words_per_edit
+    long_ones = found.where(F.col("n") >= least).select("place", "n", "w").join(near.select("place", F.lit(True).alias("done")), "place", "left")
+    # Numbers in the order of places.
+    numbered = long_ones.withColumn("done", F.coalesce("done", F.lit(False))).orderBy("place").select(F.monotonically_increasing_id().alias("m"), "*")
+    numbered = materialize(numbered, "long-lines")
+    drop(found)
+    # Few bits, as these rows are shuffled: 40 of a segment, and length, place and done in one number.
+    hashed = numbered.select("m", "n", "done", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    size = f"(({e} * {{k}}) div ({{k}} + 1))"  # of k + 1 segments in a line of k edits
+    gram = "struct(cast({at} as int) as at, xxhash64(slice(h, cast({at} as int) + 1, cast({w} as int))) & 1099511627775 as k)"
+    w = size.format(k=f"(n div {e})")
+    own = hashed.select("m", "n", "done", F.expr(f"explode(transform(sequence(0, n div {e}), s -> {gram.format(at=f's * {w}', w=w)}))").alias("x"))
+    # Shorter lines of k edits reach n words if e * k + e - 1 + k >= n.
+    sizes = f"array_distinct(transform(sequence(greatest(1, (n - {e} + 1 + {e}) div ({e} + 1)), n div {e}), k -> {size.format(k='k')}))"
+    places = f"explode(flatten(transform({sizes}, w -> transform(sequence(0, least(n - w, (n div {e}) * (w + 1))), i -> {gram.format(at='i', w='w')}))))"
+    asked = hashed.select("m", "n", "done", F.expr(places).alias("x"))
+    packed = F.expr("shiftleft(cast(n as long), 32) + x.at * 2L + cast(done as int)")
+    short = own.select("x.k", F.col("m").alias("m1"), packed.alias("p1"))
+    long = asked.select("x.k", F.col("m").alias("m2"), packed.alias("p2"))
+    n1, n2 = "shiftright(p1, 32)", "shiftright(p2, 32)"
+    at1, at2 = "shiftright(p1 & 4294967295, 1)", "shiftright(p2 & 4294967295, 1)"
+    met = F.expr(f"m1 != m2 and {n2} between {n1} and {n1} + {n1} div {e} and abs({at1} - {at2}) <= {n1} div {e} and if(m1 > m2, p1, p2) & 1 = 0")
+    pairs = long.join(short.hint("shuffle_hash"), "k").where(met).select(F.least("m1", "m2").alias("first"), F.greatest("m1", "m2").alias("m")).distinct()
+    pairs = materialize(pairs, "pairs")
+    left = numbered.select("m", "place", F.col("w").alias("w1"), F.col("n").alias("n1"))
+    right = numbered.select(F.col("m").alias("first"), F.col("w").alias("w2"), F.col("n").alias("n2"))
+    out = materialize(pairs.join(left, "m").join(right, "first").where(within_edits(e)).select("place", F.lit(True).alias("near")).distinct(), "near-by-segments")
+    for x in (numbered, pairs):
+        drop(x)
+    return out
+
+
+def within_edits(words_per_edit: int) -> Column:
+    """Word edit distance of w1 and w2 at most a word for every full ``words_per_edit`` of the shorter.
+
+    Words become characters, numbered within the pair above the surrogates."""
+    text = "decode(unhex(array_join(transform({w}, x -> lpad(hex(65536 + array_position(d, x)), 8, '0')), '')), 'UTF-32')"
+    distance = f"levenshtein({text.format(w='w1')}, {text.format(w='w2')}, cast(least(n1, n2) div {words_per_edit} as int))"
+    return F.expr(f"exists(array(array_distinct(concat(w1, w2))), d -> {distance} >= 0)")
+
+
 def within_one_edit() -> Column:
     """Word edit distance of w1 and w2 at most 1: all but one word agree from both ends."""
     same = "aggregate(zip_with(slice({a}, 1, least(n1, n2)), slice({b}, 1, least(n1, n2)), (x, y) -> x = y), struct(true as on, 0 as k), (s, e) -> if(s.on and e, struct(true as on, s.k + 1 as k), struct(false as on, s.k as k)), s -> s.k)"

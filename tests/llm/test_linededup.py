@@ -1,6 +1,10 @@
 """Line dedup of lines of every length against a plain version."""
 
+import random
 import re
+from collections import Counter
+
+from llm_rows import ODD
 
 from tabulith.llm import linededup
 
@@ -16,3 +20,44 @@ def got(spark, rows):
 def test_short_lines_that_are_repeated(spark):
     rows = [(1, "All rights reserved.\n\nles.\n \none"), (2, "les.\n\nall  rights RESERVED. \n \ntwo"), (3, "les\nall rights kept.\nles."), (None, "one")]
     assert got(spark, rows) == {1: rows[0][1], 2: "\n \ntwo", 3: "les\nall rights kept.", None: ""}
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def plain(rows):
+    lines = [((i is None, i or 0, k), words_of(line)) for i, text in rows for k, line in enumerate((text or "").split("\n")) if line.strip(" \t\r\x0b\x0c")]
+    # What differs in the bags of words is at most the distance.
+    may = lambda a, b, k: abs(len(a) - len(b)) <= k and sum((Counter(a) - Counter(b)).values()) <= k and distance(a, b) <= k
+    like = lambda a, b: a == b or min(len(a), len(b)) >= 10 and may(a, b, min(len(a), len(b)) // 10)
+    gone = {at for at, w in lines if any(o < at and like(v, w) for o, v in lines)}
+    return {i: text and "\n".join(x for k, x in enumerate(text.split("\n")) if (i is None, i or 0, k) not in gone) for i, text in rows}
+
+
+def test_edits_grow_with_the_line(spark):
+    draw = random.Random(7)
+    rows, n = [], 0
+    for size in (9, 10, 19, 20, 21, 29, 30, 33, 47, 60, 99, 119):
+        base = [f"w{draw.randrange(400)}" for _ in range(size)]
+        for edits in range(size // 10 + 3):
+            line = list(base)
+            for _ in range(edits):
+                at, kind = draw.randrange(len(line)), draw.randrange(3)
+                line[at : at + (kind < 2)] = [] if kind == 0 else [f"new{draw.randrange(10**6)}"]
+            rows.append((n, " ".join(line)))
+            n += 1
+    draw.shuffle(rows)
+    want = plain(rows)
+    assert got(spark, rows) == want and 15 < sum(not t for t in want.values()) < len(rows)
+
+
+def test_documents_and_odd_rows(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    for rows in (docs, ODD):
+        assert got(spark, rows) == plain(rows)
