@@ -33,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="tabulith-")
         sc.setCheckpointDir(where)
         where = sc.getCheckpointDir()
@@ -87,6 +89,18 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     return out
 
 
+#: Bytes of Parquet that a side may have to be broadcast; a larger one is joined by shuffled hash.
+BROADCAST_BYTES = 4_000_000
+
+
+def small_or_hashed(df: DataFrame) -> DataFrame:
+    """What ``materialize`` wrote, hinted as a broadcast if its files are small, else as the built side of a shuffled join."""
+    jvm = df.sparkSession.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(df._tabulith_path)
+    size = p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    return df.hint("broadcast" if size <= BROADCAST_BYTES else "shuffle_hash")
+
+
 def drop(df: DataFrame) -> None:
     """Remove what ``materialize`` wrote, once nothing reads it any more."""
     delete_path(df.sparkSession, df._tabulith_path)

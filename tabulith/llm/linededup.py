@@ -1,28 +1,30 @@
 """Near-duplicate lines by a deletion-neighbourhood join, in DataFrame functions alone.
 
-Two lines are alike when their lower-cased words are equal, or when one turns into
-the other by inserting, deleting or replacing at most a word for every full ``words_per_edit``
-words (two or more) of the shorter one. A line is removed when a like line stands earlier, by document id and then line number; blank lines
-are never removed, and lines of fewer than ``min_words`` words only if they are equal. A like line
-counts as earlier whether it stays itself or not.
-
-1. Lines become hashes of their words: the line's own, and of its two halves. Equal lines meet in
-   one row with their earliest place.
-2. Lines within one edit share a half: one edit leaves the words before or after the middle as
-   they were. A line none of whose halves stands in another distinct line has no like line, so
-   only the others go on. This loses nothing.
-3. Those emit all variants with one word deleted that the shared halves allow, as hashed keys, and
-   themselves. Lines that
-   agree in a variant and in the place of the deletion differ in that word alone; a line that
-   equals a variant of another lacks one of its words. Each key keeps its earliest line, so a key
-   of any size costs a row a line and no pairs.
-4. Lines that may have k > 1 edits have k + 1 equal segments, one of which is left as it was and
-   moves by k words at most: the longer line is asked for it at all its places.
-5. Edits are verified on the words themselves, and the text is rebuilt without removed lines.
+Two lines are alike when their lower-cased words are equal, or when one turns into the other by
+inserting, deleting or replacing at most a word for every full ``words_per_edit`` words of the
+shorter one. A line is removed when a like line stands earlier, by document id and then line
+number; blank lines are never removed, and lines of fewer than ``min_words`` words only if they are
+equal. A like line counts as earlier whether it stays itself or not.
+
+1. Equal lines meet by two hashes in one row with their earliest place.
+2. Every line emits hashed keys of what is left of it when words are deleted, so that two lines
+   within the bound always share a key:
+
+   - a line that may have one edit emits itself and all its variants with one word deleted;
+   - a longer one is cut into chunks behind words that end in certain characters. An edit touches
+     two chunks at most, so of lines within k edits all but 2 k chunks are common, and the 2 k + 1
+     chunks that come first in a fixed order of all chunks (longest first) share one. Each is the
+     variant that has all other chunks deleted;
+   - a line with too few distinct chunks for that emits its stretches as well that k edits could
+     leave as they were, at all places. Two such lines share one of k + 1 equal segments.
+
+3. Keys that one line alone emits are dropped. Lines of the others are compared with the earliest
+   line of the key first; those that are not like it, with the other earlier lines of like length.
+4. Edits are verified on the words themselves, and the text is rebuilt without removed lines.
 
 Defined results: a null text stays null; an empty one stays empty; null ids come last and count as
-one document; rows of one id that are repeated are treated alike; an empty table gives no rows;
-other columns are ignored.
+one document; rows of one id that are repeated are treated alike; ties in place can't occur but for
+these; an empty table gives no rows; other columns, of any name, are ignored or handed on.
 """
 
 from __future__ import annotations
@@ -30,27 +32,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import drop, materialize, only
+from tabulith.llm.common import drop, materialize, only, small_or_hashed
 
 MIN_WORDS = 5
 WORDS_PER_EDIT = 10
 BLANKS = " \t\r\x0b\x0c"
+#: A chunk ends behind a word that ends in one of these: any choice is right, this one is frequent.
+ANCHORS = r"[ens0-9.,;:!?)\"|&%*#<>$-]"
 
 
-def line_words(line: Column) -> Column:
-    """Lower-cased words of a line, between ASCII white space."""
-    return F.split(F.btrim(F.lower(line), F.lit(BLANKS)), r"[ \t\r\x0b\f]+")
-
-
-def _half_keys(words: Column, n: Column) -> list[Column]:
-    """Hashes of both halves as a line of n words has them, and as one of n - 1 words would."""
-    keys = []
-    for c in (n, n - 1):
-        half = F.floor(c / 2).cast("int")
-        size = c.cast("int")
-        keys.append(F.xxhash64(F.lit("first"), size, F.slice(words, 1, half)))
-        keys.append(F.xxhash64(F.lit("last"), size, F.slice(words, -(size - half), size - half)))
-    return keys
+def normal_line(raw: Column) -> Column:
+    """Lower-cased words of a line with a space between them."""
+    low = F.lower(raw)
+    return F.when(raw.rlike("[\t\r\x0b\f]|  "), F.btrim(F.regexp_replace(low, "[ \t\r\x0b\f]+", " "))).otherwise(F.btrim(low))
 
 
 # A line's place is one number, so that the earliest is a minimum without structs or sorts.
@@ -67,103 +61,90 @@ def _id_and_line(place: str) -> list[Column]:
     return [F.expr(f"if({place} >= {_NO_ID}BD * {_LINES}, null, ({place} - pmod({place}, {_LINES})) div {_LINES})").alias("id"), line.alias("line")]
 
 
+def _variants(e: int) -> str:
+    """Keys of a line with one edit at most: itself and all variants with a word deleted."""
+    words = "array(transform(split(line, ' '), x -> xxhash64(x)))"
+    return f"flatten(transform({words}, h -> transform(sequence(0, size(h)), i -> if(i = size(h), xxhash64(h), xxhash64(concat(slice(h, 1, i), slice(h, i + 2, size(h))))))))"
+
+
+def _chunks() -> str:
+    """Numbers of a line's distinct chunks, the longest ones first."""
+    number = "shiftleft(cast(4095 - least(octet_length(x), 4095) as long), 51) | (xxhash64(x) & 2251799813685247)"
+    return f"sort_array(array_distinct(transform(split(line, '(?<={ANCHORS}) '), x -> {number})))"
+
+
+def _stretches(e: int) -> str:
+    """Keys of a line's stretches at all places, as long as segments of lines within the bound are."""
+    sizes = f"array_distinct(transform(sequence(greatest(1, (n - {e} + 1 + {e}) div ({e} + 1)), n div {e}), k -> ({e} * k) div (k + 1)))"
+    places = f"transform(sequence(0, n - w), i -> xxhash64(slice(h, i + 1, cast(w as int))))"
+    return f"array_distinct(flatten(transform(array(transform(split(line, ' '), x -> xxhash64(x))), h -> flatten(transform({sizes}, w -> {places})))))"
+
+
 def near_lines(docs: DataFrame, min_words: int = MIN_WORDS, words_per_edit: int = WORDS_PER_EDIT) -> DataFrame:
     """Rows (id, lines): the numbers, from 0, of the lines to remove; ``docs`` has id and text."""
-    lines = docs.select("id", F.posexplode(F.split("text", "\n")).alias("line", "raw")).where(F.btrim("raw", F.lit(BLANKS)) != "")
-    words = lines.select("id", "line", line_words(F.col("raw")).alias("w")).withColumn("n", F.size("w"))
-    halves = [(k if i < 2 else F.when(F.col("n") >= max(words_per_edit, min_words), k)).alias(f"half{i}") for i, k in enumerate(_half_keys(F.col("w"), F.col("n")))]
-    # Hashes of the whole line and of both halves are what a line is known by.
-    same = ["whole", "half0", "half1"]
-    hashed = materialize(words.select(_place(F.col("id"), F.col("line")).alias("place"), "n", F.xxhash64("w").alias("whole"), *halves), "lines")
-    distinct = materialize(hashed.groupBy(*same).agg(F.min("place").alias("place"), F.min("n").alias("n"), (F.count("*") > 1).alias("again"), F.min("half2").alias("half2"), F.min("half3").alias("half3")), "distinct-lines")
-
-    # A shared first half leaves the edit to the words behind it, a shared last one to those before.
-    sides = F.array(*[F.struct(F.col(f"half{i}").alias("half"), F.lit(i % 2 == 0).alias("first")) for i in range(4)])
-    halves = distinct.where("half2 is not null").select("place", F.explode(sides).alias("x")).select("place", "x.*")
-    shared = halves.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
-    alive = halves.join(shared, "half", "left_semi").groupBy("place").agg(F.max("first").alias("behind"), F.max(~F.col("first")).alias("before"))
-
-    # The words of the lines that go on, from their earliest places.
-    long_ones = distinct.where(F.col("n") >= max(2 * words_per_edit, min_words)).select("place")
-    alive = alive.join(long_ones, "place", "full")
-    wanted = alive.select(*_id_and_line("place")).groupBy(F.col("id").alias("wid")).agg(F.collect_set("line").alias("wanted"))
-    found = (
-        docs.join(wanted.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("wid")))
-        .select("id", F.expr("explode(transform(array(split(text, '\n')), all -> transform(wanted, i -> struct(i as line, all[i] as raw)))[0])").alias("x"))
-        .select(_place(F.col("id"), F.col("x.line")).alias("place"), line_words(F.col("x.raw")).alias("w"))
-        .dropDuplicates(["place"])
+    e = words_per_edit
+    raw = docs.select("id", F.posexplode(F.split("text", "\n")).alias("at", "raw")).where(F.btrim("raw", F.lit(BLANKS)) != "")
+    lines = raw.select(_place(F.col("id"), F.col("at")).alias("place"), normal_line(F.col("raw")).alias("line"))
+    lines = lines.withColumn("n", F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
+    # Lines with k edits at most of 2 or more; a line of 2 e words may meet one with a single edit.
+    single, several = F.col("n").between(max(e, min_words), 2 * e), F.col("n") >= max(2 * e, min_words)
+    lines = lines.withColumn("chunks", F.when(several, F.expr(_chunks())))
+    few = F.expr(f"size(chunks) <= 2 * (n div {e})")
+    lines = lines.select(
+        "place", "n", "line", F.xxhash64("line").alias("whole"), F.xxhash64(F.lit(1), "line").alias("other"),
+        F.when(single, F.expr(_variants(e))).alias("v"), F.expr(f"slice(chunks, 1, 2 * (n div {e}) + 1)").alias("c"), F.when(several & few, F.expr(_stretches(e))).alias("s"),
     )
-    found = materialize(found.select("place", "w", F.size("w").alias("n")).join(alive, "place"), "found-lines")
-    near_ones = found.where("behind is not null")
-
-    # Variants are hashed from the words' hashes; what they pair is verified on the words.
-    hashes = near_ones.select("place", "n", "behind", "before", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-    keyed = "explode(transform(sequence(if(before, 0, (n - 1) div 2), if(behind, n - 1, n div 2 + 1)), i -> struct(i as i, xxhash64(concat(slice(h, 1, i), slice(h, i + 2, greatest(n - i - 1, 0)))) as k)))"
-    variants = materialize(hashes.select("place", "n", F.expr(keyed).alias("v")).select("place", "n", "v.*"), "variants")
-    whole = hashes.select(F.col("place").alias("p"), F.xxhash64("h").alias("k"))
-
-    # The earliest of the lines that lack the same word at the same place.
-    first = variants.groupBy("k", "n", "i").agg(F.min("place").alias("p"), F.count("*").alias("c")).where("c > 1").drop("c")
-    replaced = variants.join(first, ["k", "n", "i"]).where("place > p").select("place", "p")
-    # A line and a line with one word more; whichever is later goes.
-    longer = variants.join(whole, "k")
-    lost = longer.where("place > p").select("place", "p")
-    gained = longer.groupBy("p").agg(F.min("place").alias("place")).where("place < p").select(F.col("p").alias("place"), F.col("place").alias("p"))
-    pairs = replaced.unionByName(gained).unionByName(lost).distinct()
-
-    left = near_ones.select("place", F.col("w").alias("w1"), F.col("n").alias("n1"))
-    right = near_ones.select(F.col("place").alias("p"), F.col("w").alias("w2"), F.col("n").alias("n2"))
-    near = pairs.join(left, "place").join(right, "p").where(within_one_edit()).select("place", F.lit(True).alias("near")).distinct()
-    near = materialize(near, "near-lines")
-    drop(variants)
-    more = _near_by_segments(found, near, max(2 * words_per_edit, min_words), words_per_edit)
-    near_path, near = near, near.unionByName(more)
+    lines = materialize(lines, "lines")
+    same = ["whole", "other"]
+    distinct = materialize(lines.groupBy(*same).agg(F.min("place").alias("place"), (F.count("*") > 1).alias("again")), "distinct-lines")
+
+    # Keys of two lines or more. Few bits, as nearly all keys are shuffled only to be dropped.
+    keyed = lines.where("v is not null or c is not null").select("whole", "place", "n", F.explode(F.expr("array_compact(concat(coalesce(v, array()), coalesce(c, array()), coalesce(s, array())))")).alias("k"))
+    met = keyed.select("k", F.expr("whole & 1099511627775").alias("w")).groupBy("k").agg(F.min("w").alias("a"), F.max("w").alias("b")).where("a != b").select("k")
+    met = materialize(met, "shared-keys")
+    alive = keyed.join(small_or_hashed(met), "k", "left_semi").groupBy("k", "whole").agg(F.min("place").alias("place"), F.min("n").alias("n"))
+    alive = materialize(alive.select("k", "place", "n"), "alive-keys")
+    drop(met)
+
+    like = f"abs(n1 - n2) <= least(n1, n2) div {e} and place > p"
+    later = alive.select("k", "place", F.col("n").alias("n1"))
+    # Each line with the earliest of its keys, and where that one isn't like it, with the others.
+    first = alive.groupBy("k").agg(F.min("place").alias("p")).join(alive.select("k", F.col("place").alias("p"), F.col("n").alias("n2")), ["k", "p"])
+    pairs = materialize(later.join(first, "k").where(like).select("place", "p").distinct(), "pairs-with-first")
+    near = _verified(pairs, lines, e)
+    rest = later.join(near.select("place"), "place", "left_anti")
+    others = alive.select("k", F.col("place").alias("p"), F.col("n").alias("n2"))
+    more = rest.join(others, "k").where(like).select("place", "p").distinct().join(pairs, ["place", "p"], "left_anti")
+    more = materialize(more, "more-pairs")
+    drop(alive)
+    also = _verified(more, lines, e)
 
     # Lines that stand there again, or are near an earlier one.
-    verdict = distinct.select(*same, "place", "again").join(near, "place", "left").where("again or near").select(*same, F.col("place").alias("earliest"), "near")
-    gone = hashed.select("place", *same).join(verdict, same).where("near or place != earliest").select(*_id_and_line("place"))
+    all_near = near.unionByName(also).select("place", F.lit(True).alias("near"))
+    verdict = distinct.join(all_near, "place", "left").where("again or near").select(*same, F.col("place").alias("earliest"), "near")
+    verdict = materialize(verdict, "verdicts")
+    gone = lines.select("place", *same).join(small_or_hashed(verdict), same).where("near or place != earliest").select(*_id_and_line("place"))
     out = materialize(gone.groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("lines")), "removed-lines")
-    for x in (hashed, distinct, near_path):
+    for x in (lines, distinct, pairs, more, near, also, verdict):
         drop(x)
     return out
 
 
-def _near_by_segments(found: DataFrame, near: DataFrame, least: int, words_per_edit: int) -> DataFrame:
-    """Rows (place, near) of lines of ``least`` words or more that are alike an earlier one, but for those in ``near``; ``found`` is removed once it is read."""
-    e = words_per_edit
-    long_ones = found.where(F.col("n") >= least).select("place", "n", "w").join(near.select("place", F.lit(True).alias("done")), "place", "left")
-    # Numbers in the order of places.
-    numbered = long_ones.withColumn("done", F.coalesce("done", F.lit(False))).orderBy("place").select(F.monotonically_increasing_id().alias("m"), "*")
-    numbered = materialize(numbered, "long-lines")
-    drop(found)
-    # Few bits, as these rows are shuffled: 40 of a segment, and length, place and done in one number.
-    hashed = numbered.select("m", "n", "done", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-    size = f"(({e} * {{k}}) div ({{k}} + 1))"  # of k + 1 segments in a line of k edits
-    gram = "struct(cast({at} as int) as at, xxhash64(slice(h, cast({at} as int) + 1, cast({w} as int))) & 1099511627775 as k)"
-    w = size.format(k=f"(n div {e})")
-    own = hashed.select("m", "n", "done", F.expr(f"explode(transform(sequence(0, n div {e}), s -> {gram.format(at=f's * {w}', w=w)}))").alias("x"))
-    # Shorter lines of k edits reach n words if e * k + e - 1 + k >= n.
-    sizes = f"array_distinct(transform(sequence(greatest(1, (n - {e} + 1 + {e}) div ({e} + 1)), n div {e}), k -> {size.format(k='k')}))"
-    places = f"explode(flatten(transform({sizes}, w -> transform(sequence(0, least(n - w, (n div {e}) * (w + 1))), i -> {gram.format(at='i', w='w')}))))"
-    asked = hashed.select("m", "n", "done", F.expr(places).alias("x"))
-    packed = F.expr("shiftleft(cast(n as long), 32) + x.at * 2L + cast(done as int)")
-    short = own.select("x.k", F.col("m").alias("m1"), packed.alias("p1"))
-    long = asked.select("x.k", F.col("m").alias("m2"), packed.alias("p2"))
-    n1, n2 = "shiftright(p1, 32)", "shiftright(p2, 32)"
-    at1, at2 = "shiftright(p1 & 4294967295, 1)", "shiftright(p2 & 4294967295, 1)"
-    met = F.expr(f"m1 != m2 and {n2} between {n1} and {n1} + {n1} div {e} and abs({at1} - {at2}) <= {n1} div {e} and if(m1 > m2, p1, p2) & 1 = 0")
-    pairs = long.join(short.hint("shuffle_hash"), "k").where(met).select(F.least("m1", "m2").alias("first"), F.greatest("m1", "m2").alias("m")).distinct()
-    pairs = materialize(pairs, "pairs")
-    left = numbered.select("m", "place", F.col("w").alias("w1"), F.col("n").alias("n1"))
-    right = numbered.select(F.col("m").alias("first"), F.col("w").alias("w2"), F.col("n").alias("n2"))
-    out = materialize(pairs.join(left, "m").join(right, "first").where(within_edits(e)).select("place", F.lit(True).alias("near")).distinct(), "near-by-segments")
-    for x in (numbered, pairs):
-        drop(x)
+def _verified(pairs: DataFrame, lines: DataFrame, e: int) -> DataFrame:
+    """Places of the pairs whose lines are within the bound."""
+    wanted = materialize(pairs.select(F.explode(F.array("place", "p")).alias("place")).distinct(), "wanted-lines")
+    words = lines.select("place", "n", "line").join(small_or_hashed(wanted), "place", "left_semi").dropDuplicates(["place"])
+    words = materialize(words.select("place", "n", F.transform(F.split("line", " "), lambda x: F.xxhash64(x)).alias("w")), "words")
+    left = words.select("place", F.col("w").alias("w1"), F.col("n").alias("n1"))
+    right = words.select(F.col("place").alias("p"), F.col("w").alias("w2"), F.col("n").alias("n2"))
+    out = materialize(pairs.join(left, "place").join(right, "p").where(within_edits(e)).select("place").distinct(), "near-lines")
+    drop(wanted)
+    drop(words)
     return out
 
 
 def within_edits(words_per_edit: int) -> Column:
-    """Word edit distance of w1 and w2 at most a word for every full ``words_per_edit`` of the shorter.
+    """Edit distance of the words (hashes) w1 and w2 at most a word for every full ``words_per_edit`` of the shorter.
 
     Words become characters, numbered within the pair above the surrogates."""
     text = "decode(unhex(array_join(transform({w}, x -> lpad(hex(65536 + array_position(d, x)), 8, '0')), '')), 'UTF-32')"
@@ -171,25 +152,22 @@ def within_edits(words_per_edit: int) -> Column:
     return F.expr(f"exists(array(array_distinct(concat(w1, w2))), d -> {distance} >= 0)")
 
 
-def within_one_edit() -> Column:
-    """Word edit distance of w1 and w2 at most 1: all but one word agree from both ends."""
-    same = "aggregate(zip_with(slice({a}, 1, least(n1, n2)), slice({b}, 1, least(n1, n2)), (x, y) -> x = y), struct(true as on, 0 as k), (s, e) -> if(s.on and e, struct(true as on, s.k + 1 as k), struct(false as on, s.k as k)), s -> s.k)"
-    front = same.format(a="w1", b="w2")
-    back = same.format(a="reverse(w1)", b="reverse(w2)")
-    return F.expr(f"abs(n1 - n2) <= 1 and {front} + {back} >= greatest(n1, n2) - 1")
+_REST = "transform(array(split({text}, '\n')), all -> array_join(transform(array_except(sequence(0, size(all) - 1), {gone}), i -> all[i]), '\n'))[0]"
 
 
-_REST = "transform(array(split({text}, '\n')), all -> array_join(transform(array_except(sequence(0, size(all) - 1), {gone}), i -> all[i]), '\n'))[0]"
+def _with_rest(docs: DataFrame, min_words: int, words_per_edit: int, text: str, id: str) -> DataFrame:
+    """Rows (row, id, text, lines, rest): the row as it was, its lines to remove and what remains."""
+    gone = near_lines(only(docs, id, text).toDF("id", "text"), min_words, words_per_edit)
+    gone = small_or_hashed(gone).withColumnRenamed("id", "gid")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    joined = rows.join(gone, F.col("id").eqNullSafe(F.col("gid")), "left")
+    return joined.withColumn("rest", F.when(F.col("lines").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.expr(_REST.format(text="text", gone="lines"))))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, words_per_edit: int = WORDS_PER_EDIT, text: str = "text", id: str = "doc_id") -> DataFrame:
     """Rows (id, text, n_lines, n_removed) with the remaining text of every row."""
-    own = only(docs, id, text).toDF("id", "text")
-    gone = near_lines(own, min_words, words_per_edit).withColumnRenamed("id", "gid")
-    joined = own.join(gone.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("gid")), "left")
-    return joined.select(
-        F.col("id").alias(id),
-        F.when(F.col("lines").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.expr(_REST.format(text="text", gone="lines"))).alias("text"),
+    return _with_rest(only(docs, id, text), min_words, words_per_edit, text, id).select(
+        F.col("id").alias(id), F.col("rest").alias("text"),
         (F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))), F.lit(-1)) + 1).cast("long").alias("n_lines"),
         F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"),
     )
@@ -197,9 +175,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, words_per_edit: int
 
 def dedup_documents(docs: DataFrame, min_words: int = MIN_WORDS, words_per_edit: int = WORDS_PER_EDIT, text: str = "text", id: str = "doc_id", n_chars: str = "n_chars") -> DataFrame:
     """The rows of ``docs`` without lines that stand earlier; a row that loses all its words goes."""
-    gone = near_lines(only(docs, id, text).toDF("id", "text"), min_words, words_per_edit).toDF("__gone_id", "__gone")
-    joined = docs.join(gone.hint("shuffle_hash"), F.col(f"`{id}`").eqNullSafe(F.col("__gone_id")), "left")
-    changed = F.col("__gone").isNotNull() & F.col(f"`{text}`").isNotNull()
-    new = joined.withColumn("__text", F.when(changed, F.expr(_REST.format(text=f"`{text}`", gone="__gone"))).otherwise(F.col(f"`{text}`"))).where(~changed | F.col("__text").rlike(r"[^\x20\x09-\x0D]"))
-    columns = {text: F.col("__text"), n_chars: F.when(changed, F.length("__text").cast("long")).otherwise(F.col(f"`{n_chars}`")) if n_chars in docs.columns else None}
-    return new.select(*[(columns[c] if c in columns else F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    changed = F.col("lines").isNotNull() & F.col("text").isNotNull()
+    new = _with_rest(docs, min_words, words_per_edit, text, id).where(~changed | F.col("rest").rlike(r"[^\x20\x09-\x0D]"))
+    columns = {text: F.col("rest"), n_chars: F.when(changed, F.length("rest").cast("long")).otherwise(F.col("row").getField(n_chars)) if n_chars in docs.columns else None}
+    return new.select(*[(columns[c] if c in columns else F.col("row").getField(c)).alias(c) for c in docs.columns])

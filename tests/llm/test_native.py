@@ -5,6 +5,7 @@ from datetime import date
 
 from llm_rows import ODD
 from pyspark.sql import functions as F
+from test_linededup import plain as plain_lines
 
 from tabulith.llm import linededup, pii, queries
 
@@ -14,43 +15,10 @@ KEY = "k"
 # ---- line dedup
 
 
-def words_of(line):
-    return [w for w in re.split(r"[ \t\r\x0b\f]+", line.lower().strip(" \t\r\x0b\x0c"))]
-
-
-def one_edit(a, b):
-    if abs(len(a) - len(b)) > 1:
-        return False
-    i = 0
-    while i < min(len(a), len(b)) and a[i] == b[i]:
-        i += 1
-    return a[i + 1 :] == b[i + 1 :] or a[i + 1 :] == b[i:] or a[i:] == b[i + 1 :]
-
-
-def plain_dedup(rows):
-    lines = []
-    for i, text in rows:
-        for k, line in enumerate((text if text is not None else "").split("\n")):
-            w = words_of(line)
-            if len(w) >= 5:
-                lines.append(((i is None, i or 0, k), i, k, w))
-    lines.sort(key=lambda x: x[0])
-    gone = set()
-    for n, (at, i, k, w) in enumerate(lines):
-        for other, _, _, v in lines[:n]:
-            if other < at and (v == w or len(w) >= 10 and len(v) >= 10 and one_edit(v, w)):
-                gone.add((i, k))
-                break
-    out = {}
-    for i, text in rows:
-        out[i] = None if text is None else "\n".join(x for k, x in enumerate(text.split("\n")) if (i, k) not in gone)
-    return out
-
-
 def test_line_dedup(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     got = queries.op5_line_dedup(spark, "/root/testdata/sf0.001").collect()
-    assert {r.doc_id: r.text for r in got} == plain_dedup(rows) and len(got) == len(rows)
+    assert {r.doc_id: r.text for r in got} == plain_lines(rows) and len(got) == len(rows)
     assert sum(r.n_removed for r in got) > 20
 
 
@@ -62,12 +30,12 @@ def test_line_edits(spark):
         (8, "two one three four five six seven eight nine ten"), (9, ""), (10, None), (None, base + "\nan own line of five"),
     ] + [(100 + k, f"page {k} of the long report on birds and many other things") for k in range(40)]
     got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
-    assert got == plain_dedup(rows)
+    assert got == plain_lines(rows)
 
 
 def test_line_dedup_of_odd_rows(spark, odd, empty):
     got = linededup.dedup_lines(odd)
-    want = plain_dedup(ODD)
+    want = plain_lines(ODD)
     assert got.count() == len(ODD) and all(r.text == want[r.doc_id] for r in got.collect())
     assert linededup.dedup_lines(empty).count() == 0
 
