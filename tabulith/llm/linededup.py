@@ -15,11 +15,14 @@ equal. A like line counts as earlier whether it stays itself or not.
      two chunks at most, so of lines within k edits all but 2 k chunks are common, and the 2 k + 1
      chunks that come first in a fixed order of all chunks (longest first) share one. Each is the
      variant that has all other chunks deleted;
-   - a line with too few distinct chunks for that emits its stretches as well that k edits could
+   - a line with too few distinct chunks for that numbers its equal chunks and emits those that
+     come first as well; one with too few chunks altogether emits its stretches that k edits could
      leave as they were, at all places. Two such lines share one of k + 1 equal segments.
 
-3. Keys that one line alone emits are dropped. Lines of the others are compared with the earliest
-   line of the key first; those that are not like it, with the other earlier lines of like length.
+3. Keys that one line alone emits are dropped. Lines of the others meet within classes of like
+   length, the earliest of the class first; those that are not like it meet the others. Pairs
+   whose lengths or counts of first letters differ too much go at once, then those whose first
+   letters have too large an edit distance, which is never above that of the words.
 4. Edits are verified on the words themselves, and the text is rebuilt without removed lines.
 
 Defined results: a null text stays null; an empty one stays empty; null ids come last and count as
@@ -68,9 +71,14 @@ def _variants(e: int) -> str:
 
 
 def _chunks() -> str:
-    """Numbers of a line's distinct chunks, the longest ones first."""
+    """Numbers of a line's chunks in order, the longest ones first."""
     number = "shiftleft(cast(4095 - least(octet_length(x), 4095) as long), 51) | (xxhash64(x) & 2251799813685247)"
-    return f"sort_array(array_distinct(transform(split(line, '(?<={ANCHORS}) '), x -> {number})))"
+    return f"sort_array(transform(split(line, '(?<={ANCHORS}) '), x -> {number}))"
+
+
+def _numbered(e: int) -> str:
+    """The chunks that come first when equal ones are numbered."""
+    return f"slice(sort_array(transform(chunks, (x, i) -> xxhash64(x, i - array_position(chunks, x)))), 1, 2 * (n div {e}) + 1)"
 
 
 def _stretches(e: int) -> str:
@@ -80,6 +88,22 @@ def _stretches(e: int) -> str:
     return f"array_distinct(flatten(transform(array(transform(split(line, ' '), x -> xxhash64(x))), h -> flatten(transform({sizes}, w -> {places})))))"
 
 
+#: First letters that are counted, as they are frequent in many languages.
+_LETTERS = "adelpstc"
+
+
+def _initials_of(line: str) -> Column:
+    """The first letters of a line's words."""
+    return F.regexp_replace(line, r"(.)[^ ]* ?", "$1")
+
+
+def _initials() -> list[Column]:
+    """Counts of eight first letters in two numbers, 16 bits each."""
+    count = lambda c: F.least(F.octet_length("initials") - F.octet_length(F.replace("initials", F.lit(c), F.lit(""))), F.lit(32767)).cast("long")
+    four = lambda letters: sum((count(c) * F.lit(1 << 16 * i) for i, c in enumerate(letters)), F.lit(0).cast("long"))
+    return [four(_LETTERS[:4]).alias("i1"), four(_LETTERS[4:]).alias("i2")]
+
+
 def near_lines(docs: DataFrame, min_words: int = MIN_WORDS, words_per_edit: int = WORDS_PER_EDIT) -> DataFrame:
     """Rows (id, lines): the numbers, from 0, of the lines to remove; ``docs`` has id and text."""
     e = words_per_edit
@@ -89,32 +113,38 @@ def near_lines(docs: DataFrame, min_words: int = MIN_WORDS, words_per_edit: int
     # Lines with k edits at most of 2 or more; a line of 2 e words may meet one with a single edit.
     single, several = F.col("n").between(max(e, min_words), 2 * e), F.col("n") >= max(2 * e, min_words)
     lines = lines.withColumn("chunks", F.when(several, F.expr(_chunks())))
-    few = F.expr(f"size(chunks) <= 2 * (n div {e})")
+    lines = lines.withColumn("sets", F.array_distinct("chunks")).withColumn("initials", F.when(single | several, _initials_of("line")))
+    few = several & F.expr(f"size(sets) <= 2 * (n div {e})")
     lines = lines.select(
-        "place", "n", "line", F.xxhash64("line").alias("whole"), F.xxhash64(F.lit(1), "line").alias("other"),
-        F.when(single, F.expr(_variants(e))).alias("v"), F.expr(f"slice(chunks, 1, 2 * (n div {e}) + 1)").alias("c"), F.when(several & few, F.expr(_stretches(e))).alias("s"),
+        "place", "n", "line", F.xxhash64("line").alias("whole"), F.xxhash64(F.lit(1), "line").alias("other"), *_initials(),
+        F.when(single, F.expr(_variants(e))).alias("v"), F.expr(f"slice(sets, 1, 2 * (n div {e}) + 1)").alias("c"),
+        F.when(few, F.when(F.expr(f"size(chunks) > 2 * (n div {e})"), F.expr(_numbered(e))).otherwise(F.expr(_stretches(e)))).alias("s"),
     )
-    lines = materialize(lines, "lines")
+    keys = F.expr("case when v is null and s is null then c when c is null then v else concat(coalesce(v, cast(array() as array<long>)), c, coalesce(s, cast(array() as array<long>))) end")
+    lines = materialize(lines.select("place", "n", "line", "whole", "other", "i1", "i2", keys.alias("keys")), "lines")
     same = ["whole", "other"]
     distinct = materialize(lines.groupBy(*same).agg(F.min("place").alias("place"), (F.count("*") > 1).alias("again")), "distinct-lines")
 
     # Keys of two lines or more. Few bits, as nearly all keys are shuffled only to be dropped.
-    keyed = lines.where("v is not null or c is not null").select("whole", "place", "n", F.explode(F.expr("array_compact(concat(coalesce(v, array()), coalesce(c, array()), coalesce(s, array())))")).alias("k"))
+    keyed = lines.select("whole", "place", "n", "i1", "i2", F.explode("keys").alias("k"))
     met = keyed.select("k", F.expr("whole & 1099511627775").alias("w")).groupBy("k").agg(F.min("w").alias("a"), F.max("w").alias("b")).where("a != b").select("k")
     met = materialize(met, "shared-keys")
-    alive = keyed.join(small_or_hashed(met), "k", "left_semi").groupBy("k", "whole").agg(F.min("place").alias("place"), F.min("n").alias("n"))
-    alive = materialize(alive.select("k", "place", "n"), "alive-keys")
+    alive = keyed.join(small_or_hashed(met), "k", "left_semi").groupBy("k", "whole", "n", "i1", "i2").agg(F.min("place").alias("place")).drop("whole")
+    # Lengths within the bound are in the same class or in neighbouring ones.
+    alive = materialize(alive.withColumn("size", F.floor(F.log("n") / F.log(F.lit(1 + 1.1 / e))).cast("int")), "alive-keys")
     drop(met)
 
-    like = f"abs(n1 - n2) <= least(n1, n2) div {e} and place > p"
-    later = alive.select("k", "place", F.col("n").alias("n1"))
+    later = alive.select("k", "size", "place", F.col("n").alias("n1"), F.col("i1").alias("a1"), F.col("i2").alias("a2"))
+    earlier = alive.select("k", F.explode(F.array(*[F.col("size") + d for d in (-1, 0, 1)])).alias("size"), F.col("place").alias("p"), F.col("n").alias("n2"), F.col("i1").alias("b1"), F.col("i2").alias("b2"))
+    differ = " + ".join(f"abs((shiftright(a{j}, {16 * i}) & 65535) - (shiftright(b{j}, {16 * i}) & 65535))" for j in (1, 2) for i in range(4))
+    like = f"place > p and abs(n1 - n2) <= least(n1, n2) div {e} and {differ} <= 2 * (least(n1, n2) div {e})"
     # Each line with the earliest of its keys, and where that one isn't like it, with the others.
-    first = alive.groupBy("k").agg(F.min("place").alias("p")).join(alive.select("k", F.col("place").alias("p"), F.col("n").alias("n2")), ["k", "p"])
-    pairs = materialize(later.join(first, "k").where(like).select("place", "p").distinct(), "pairs-with-first")
+    first = earlier.groupBy("k", "size").agg(F.min("p").alias("p"))
+    first = first.join(alive.select("k", F.col("place").alias("p"), F.col("n").alias("n2"), F.col("i1").alias("b1"), F.col("i2").alias("b2")), ["k", "p"])
+    pairs = materialize(later.join(first, ["k", "size"]).where(like).select("place", "p").distinct(), "pairs-with-first")
     near = _verified(pairs, lines, e)
     rest = later.join(near.select("place"), "place", "left_anti")
-    others = alive.select("k", F.col("place").alias("p"), F.col("n").alias("n2"))
-    more = rest.join(others, "k").where(like).select("place", "p").distinct().join(pairs, ["place", "p"], "left_anti")
+    more = rest.join(earlier, ["k", "size"]).where(like).select("place", "p").distinct().join(pairs, ["place", "p"], "left_anti")
     more = materialize(more, "more-pairs")
     drop(alive)
     also = _verified(more, lines, e)
@@ -130,26 +160,34 @@ def near_lines(docs: DataFrame, min_words: int = MIN_WORDS, words_per_edit: int
     return out
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, e: int) -> DataFrame:
-    """Places of the pairs whose lines are within the bound."""
+def _sides(pairs: DataFrame, lines: DataFrame, column: Column) -> DataFrame:
+    """The pairs with a column of both lines."""
     wanted = materialize(pairs.select(F.explode(F.array("place", "p")).alias("place")).distinct(), "wanted-lines")
-    words = lines.select("place", "n", "line").join(small_or_hashed(wanted), "place", "left_semi").dropDuplicates(["place"])
-    words = materialize(words.select("place", "n", F.transform(F.split("line", " "), lambda x: F.xxhash64(x)).alias("w")), "words")
-    left = words.select("place", F.col("w").alias("w1"), F.col("n").alias("n1"))
-    right = words.select(F.col("place").alias("p"), F.col("w").alias("w2"), F.col("n").alias("n2"))
-    out = materialize(pairs.join(left, "place").join(right, "p").where(within_edits(e)).select("place").distinct(), "near-lines")
+    found = lines.select("place", "n", "line").join(small_or_hashed(wanted), "place", "left_semi").select("place", "n", column.alias("x")).dropDuplicates(["place"])
+    found = materialize(found, "wanted-columns")
+    left = found.select("place", F.col("x").alias("x1"), F.col("n").alias("n1"))
+    right = found.select(F.col("place").alias("p"), F.col("x").alias("x2"), F.col("n").alias("n2"))
     drop(wanted)
-    drop(words)
+    return pairs.join(left, "place").join(right, "p")
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, e: int) -> DataFrame:
+    """Places of the pairs whose lines are within the bound."""
+    bound = f"cast(least(n1, n2) div {e} as int)"
+    may = materialize(_sides(pairs, lines, _initials_of("line")).where(f"levenshtein(x1, x2, {bound}) >= 0").select("place", "p"), "like-initials")
+    out = materialize(_sides(may, lines, F.col("line")).where(within_edits(e)).select("place").distinct(), "near-lines")
+    drop(may)
     return out
 
 
 def within_edits(words_per_edit: int) -> Column:
-    """Edit distance of the words (hashes) w1 and w2 at most a word for every full ``words_per_edit`` of the shorter.
+    """Edit distance of the words of x1 and x2 at most a word for every full ``words_per_edit`` of the shorter.
 
     Words become characters, numbered within the pair above the surrogates."""
+    words = "transform(split({x}, ' '), x -> xxhash64(x))"
     text = "decode(unhex(array_join(transform({w}, x -> lpad(hex(65536 + array_position(d, x)), 8, '0')), '')), 'UTF-32')"
-    distance = f"levenshtein({text.format(w='w1')}, {text.format(w='w2')}, cast(least(n1, n2) div {words_per_edit} as int))"
-    return F.expr(f"exists(array(array_distinct(concat(w1, w2))), d -> {distance} >= 0)")
+    distance = f"levenshtein({text.format(w='w.a')}, {text.format(w='w.b')}, cast(least(n1, n2) div {words_per_edit} as int))"
+    return F.expr(f"exists(array(struct({words.format(x='x1')} as a, {words.format(x='x2')} as b)), w -> exists(array(array_distinct(concat(w.a, w.b))), d -> {distance} >= 0))")
 
 
 _REST = "transform(array(split({text}, '\n')), all -> array_join(transform(array_except(sequence(0, size(all) - 1), {gone}), i -> all[i]), '\n'))[0]"
