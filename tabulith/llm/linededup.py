@@ -32,7 +32,7 @@ these; an empty table gives no rows; other columns, of any name, are ignored or
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulith.llm.common import drop, materialize, only, small_or_hashed
@@ -47,7 +47,10 @@ ANCHORS = r"[ens0-9.,;:!?)\"|&%*#<>$-]"
 def normal_line(raw: Column) -> Column:
     """Lower-cased words of a line with a space between them."""
     low = F.lower(raw)
-    return F.when(raw.rlike("[\t\r\x0b\f]|  "), F.btrim(F.regexp_replace(low, "[ \t\r\x0b\f]+", " "))).otherwise(F.btrim(low))
+    odd = F.contains(raw, F.lit("  "))
+    for blank in BLANKS[1:]:
+        odd |= F.contains(raw, F.lit(blank))
+    return F.when(odd, F.btrim(F.regexp_replace(low, "[ \t\r\x0b\f]+", " "))).otherwise(F.btrim(low))
 
 
 # A line's place is one number, so that the earliest is a minimum without structs or sorts.
@@ -73,7 +76,7 @@ def _variants(e: int) -> str:
 def _chunks() -> str:
     """Numbers of a line's chunks in order, the longest ones first."""
     number = "shiftleft(cast(4095 - least(octet_length(x), 4095) as long), 51) | (xxhash64(x) & 2251799813685247)"
-    return f"sort_array(transform(split(line, '(?<={ANCHORS}) '), x -> {number}))"
+    return f"sort_array(transform(split(line, ' (?<={ANCHORS} )'), x -> {number}))"
 
 
 def _numbered(e: int) -> str:
@@ -94,7 +97,7 @@ _LETTERS = "adelpstc"
 
 def _initials_of(line: str) -> Column:
     """The first letters of a line's words."""
-    return F.regexp_replace(line, r"(.)[^ ]* ?", "$1")
+    return F.expr(f"array_join(transform(split({line}, ' '), x -> left(x, 1)), '')")
 
 
 def _initials() -> list[Column]:
@@ -109,29 +112,33 @@ def near_lines(docs: DataFrame, min_words: int = MIN_WORDS, words_per_edit: int
     e = words_per_edit
     raw = docs.select("id", F.posexplode(F.split("text", "\n")).alias("at", "raw")).where(F.btrim("raw", F.lit(BLANKS)) != "")
     lines = raw.select(_place(F.col("id"), F.col("at")).alias("place"), normal_line(F.col("raw")).alias("line"))
-    lines = lines.withColumn("n", F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
+    lines = materialize(lines.select("place", "line", F.xxhash64("line").alias("whole"), F.xxhash64(F.lit(1), "line").alias("other")), "lines")
+
+    # Distinct lines with their keys: all that follows knows each line once.
+    same = ["whole", "other"]
+    keyed = lines.select(*same, "place", "line", _initials_of("line").alias("initials")).withColumn("n", F.length("initials"))
     # Lines with k edits at most of 2 or more; a line of 2 e words may meet one with a single edit.
     single, several = F.col("n").between(max(e, min_words), 2 * e), F.col("n") >= max(2 * e, min_words)
-    lines = lines.withColumn("chunks", F.when(several, F.expr(_chunks())))
-    lines = lines.withColumn("sets", F.array_distinct("chunks")).withColumn("initials", F.when(single | several, _initials_of("line")))
+    keyed = keyed.withColumn("chunks", F.when(several, F.expr(_chunks()))).withColumn("sets", F.array_distinct("chunks"))
     few = several & F.expr(f"size(sets) <= 2 * (n div {e})")
-    lines = lines.select(
-        "place", "n", "line", F.xxhash64("line").alias("whole"), F.xxhash64(F.lit(1), "line").alias("other"), *_initials(),
-        F.when(single, F.expr(_variants(e))).alias("v"), F.expr(f"slice(sets, 1, 2 * (n div {e}) + 1)").alias("c"),
+    keyed = keyed.select(
+        *same, "place", "n", *_initials(), F.when(single, F.expr(_variants(e))).alias("v"), F.expr(f"slice(sets, 1, 2 * (n div {e}) + 1)").alias("c"),
         F.when(few, F.when(F.expr(f"size(chunks) > 2 * (n div {e})"), F.expr(_numbered(e))).otherwise(F.expr(_stretches(e)))).alias("s"),
     )
     keys = F.expr("case when v is null and s is null then c when c is null then v else concat(coalesce(v, cast(array() as array<long>)), c, coalesce(s, cast(array() as array<long>))) end")
-    lines = materialize(lines.select("place", "n", "line", "whole", "other", "i1", "i2", keys.alias("keys")), "lines")
-    same = ["whole", "other"]
-    distinct = materialize(lines.groupBy(*same).agg(F.min("place").alias("place"), (F.count("*") > 1).alias("again")), "distinct-lines")
+    kept = ("n", "i1", "i2")
+    distinct = keyed.select(*same, "place", *kept, keys.alias("keys")).groupBy(*same).agg(
+        F.min("place").alias("place"), (F.count("*") > 1).alias("again"), *[F.any_value(c).alias(c) for c in kept], F.any_value("keys").alias("keys")
+    )
+    distinct = materialize(distinct, "distinct-lines")
 
-    # Keys of two lines or more. Few bits, as nearly all keys are shuffled only to be dropped.
-    keyed = lines.select("whole", "place", "n", "i1", "i2", F.explode("keys").alias("k"))
-    met = keyed.select("k", F.expr("whole & 1099511627775").alias("w")).groupBy("k").agg(F.min("w").alias("a"), F.max("w").alias("b")).where("a != b").select("k")
-    met = materialize(met, "shared-keys")
-    alive = keyed.join(small_or_hashed(met), "k", "left_semi").groupBy("k", "whole", "n", "i1", "i2").agg(F.min("place").alias("place")).drop("whole")
+    # Keys of two lines or more: nearly all are shuffled only to be dropped, so they travel with a hash alone.
+    by_key = Window.partitionBy("k")
+    met = distinct.select("whole", F.explode("keys").alias("k")).select("k", "whole", F.min("whole").over(by_key).alias("a"), F.max("whole").over(by_key).alias("b"))
+    met = materialize(met.where("a != b").select("k", "whole").distinct(), "shared-keys")
     # Lengths within the bound are in the same class or in neighbouring ones.
-    alive = materialize(alive.withColumn("size", F.floor(F.log("n") / F.log(F.lit(1 + 1.1 / e))).cast("int")), "alive-keys")
+    size = F.floor(F.log("n") / F.log(F.lit(1 + 1.1 / e))).cast("int").alias("size")
+    alive = materialize(met.join(distinct.select("whole", "place", *kept, size), "whole").drop("whole"), "alive-keys")
     drop(met)
 
     later = alive.select("k", "size", "place", F.col("n").alias("n1"), F.col("i1").alias("a1"), F.col("i2").alias("a2"))
@@ -163,7 +170,7 @@ def near_lines(docs: DataFrame, min_words: int = MIN_WORDS, words_per_edit: int
 def _sides(pairs: DataFrame, lines: DataFrame, column: Column) -> DataFrame:
     """The pairs with a column of both lines."""
     wanted = materialize(pairs.select(F.explode(F.array("place", "p")).alias("place")).distinct(), "wanted-lines")
-    found = lines.select("place", "n", "line").join(small_or_hashed(wanted), "place", "left_semi").select("place", "n", column.alias("x")).dropDuplicates(["place"])
+    found = lines.select("place", "line").join(small_or_hashed(wanted), "place", "left_semi").select("place", F.size(F.split("line", " ")).alias("n"), column.alias("x")).dropDuplicates(["place"])
     found = materialize(found, "wanted-columns")
     left = found.select("place", F.col("x").alias("x1"), F.col("n").alias("n1"))
     right = found.select(F.col("place").alias("p"), F.col("x").alias("x2"), F.col("n").alias("n2"))
