@@ -107,6 +107,17 @@ def _initials() -> list[Column]:
     return [four(_LETTERS[:4]).alias("i1"), four(_LETTERS[4:]).alias("i2")]
 
 
+#: Lines of a key from which they meet by classes of length: fewer comparisons, more rows.
+CROWD = 100
+
+
+def _may(first: str, second: str, e: int = WORDS_PER_EDIT) -> str:
+    """Whether a line stands earlier than another and lengths and first letters allow that they are alike."""
+    letters = " + ".join(f"abs((shiftright({first}i{j}, {16 * i}) & 65535) - (shiftright({second}i{j}, {16 * i}) & 65535))" for j in (1, 2) for i in range(4))
+    bound = f"least({first}n, {second}n) div {e}"
+    return f"{second}place > {first}place and abs({first}n - {second}n) <= {bound} and {letters} <= 2 * ({bound})"
+
+
 def near_lines(docs: DataFrame, min_words: int = MIN_WORDS, words_per_edit: int = WORDS_PER_EDIT) -> DataFrame:
     """Rows (id, lines): the numbers, from 0, of the lines to remove; ``docs`` has id and text."""
     e = words_per_edit
@@ -134,25 +145,26 @@ def near_lines(docs: DataFrame, min_words: int = MIN_WORDS, words_per_edit: int
 
     # Keys of two lines or more: nearly all are shuffled only to be dropped, so they travel with a hash alone.
     by_key = Window.partitionBy("k")
-    met = distinct.select("whole", F.explode("keys").alias("k")).select("k", "whole", F.min("whole").over(by_key).alias("a"), F.max("whole").over(by_key).alias("b"))
-    met = materialize(met.where("a != b").select("k", "whole").distinct(), "shared-keys")
+    met = distinct.select("whole", F.explode("keys").alias("k")).select("k", "whole", F.min("whole").over(by_key).alias("a"), F.max("whole").over(by_key).alias("b"), F.count("*").over(by_key).alias("c"))
+    met = materialize(met.where("a != b").select("k", "whole", (F.col("c") > CROWD).alias("crowd")).distinct(), "shared-keys")
     # Lengths within the bound are in the same class or in neighbouring ones.
     size = F.floor(F.log("n") / F.log(F.lit(1 + 1.1 / e))).cast("int").alias("size")
-    alive = materialize(met.join(distinct.select("whole", "place", *kept, size), "whole").drop("whole"), "alive-keys")
+    near_size = Window.partitionBy("k").orderBy("size").rangeBetween(-1, 1)
+    alive = met.join(distinct.select("whole", "place", *kept, size), "whole").drop("whole")
+    alive = alive.select("*", F.count("*").over(near_size).alias("c"), F.min(F.struct("place", *kept)).over(near_size).alias("p")).where("c > 1")
+    alive = materialize(alive.drop("c").withColumn("p", F.when(F.expr(_may("p.", "", e)), F.col("p.place"))), "alive-keys")
     drop(met)
 
-    later = alive.select("k", "size", "place", F.col("n").alias("n1"), F.col("i1").alias("a1"), F.col("i2").alias("a2"))
-    earlier = alive.select("k", F.explode(F.array(*[F.col("size") + d for d in (-1, 0, 1)])).alias("size"), F.col("place").alias("p"), F.col("n").alias("n2"), F.col("i1").alias("b1"), F.col("i2").alias("b2"))
-    differ = " + ".join(f"abs((shiftright(a{j}, {16 * i}) & 65535) - (shiftright(b{j}, {16 * i}) & 65535))" for j in (1, 2) for i in range(4))
-    like = f"place > p and abs(n1 - n2) <= least(n1, n2) div {e} and {differ} <= 2 * (least(n1, n2) div {e})"
     # Each line with the earliest of its keys, and where that one isn't like it, with the others.
-    first = earlier.groupBy("k", "size").agg(F.min("p").alias("p"))
-    first = first.join(alive.select("k", F.col("place").alias("p"), F.col("n").alias("n2"), F.col("i1").alias("b1"), F.col("i2").alias("b2")), ["k", "p"])
-    pairs = materialize(later.join(first, ["k", "size"]).where(like).select("place", "p").distinct(), "pairs-with-first")
+    pairs = materialize(alive.where("p is not null").select("place", "p").distinct(), "pairs-with-first")
     near = _verified(pairs, lines, e)
-    rest = later.join(near.select("place"), "place", "left_anti")
-    more = rest.join(earlier, ["k", "size"]).where(like).select("place", "p").distinct().join(pairs, ["place", "p"], "left_anti")
-    more = materialize(more, "more-pairs")
+    # In the keys of many lines classes of length meet, in the others all do.
+    later = alive.select("k", F.when(F.col("crowd"), F.col("size")).otherwise(-9).alias("size"), "place", *kept)
+    later = later.join(small_or_hashed(near), "place", "left_anti").select("k", "size", F.struct("place", *kept).alias("x"))
+    sizes = F.when(F.col("crowd"), F.array(*[F.col("size") + d for d in (-1, 0, 1)])).otherwise(F.array(F.lit(-9)))
+    earlier = alive.select("k", F.explode(sizes).alias("size"), F.struct("place", *kept).alias("y"))
+    more = later.join(earlier, ["k", "size"]).where(_may("y.", "x.", e)).select(F.col("x.place").alias("place"), F.col("y.place").alias("p")).distinct()
+    more = materialize(more.join(small_or_hashed(pairs), ["place", "p"], "left_anti"), "more-pairs")
     drop(alive)
     also = _verified(more, lines, e)
 
