@@ -19,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import only, text_slices, thrifty
+from tabulith.llm.common import drop, materialize, only, text_slices, thrifty
 
 #: ASCII letters in lower case, digits as they are, all other ASCII characters as space.
 WORD_TABLE = bytes(
     c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256)
 )
 WINDOW = 10
-#: Benchmark words that go to the executors at once; a larger benchmark is searched in blocks.
+#: Benchmark words that driver and executors hold at once; a larger benchmark is searched block after block.
 BLOCK_WORDS = 1_000_000
 SAMPLE_STEP = 8
 
@@ -215,70 +215,72 @@ def hits(texts: list[bytes], phrases: Phrases) -> list[tuple[int, list[tuple[int
 
 
 _OUT = "id long, n_words long, starts array<long>, ends array<long>, items array<string>"
+_SPANS = [("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))]
 
 
-def _kernel(phrases: Phrases):
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, those that meet made one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _kernel(phrases: Phrases, more: bool):
+    """Rows with what this block and the blocks before it found; the text goes on while ``more`` follow."""
+
     def kernel(batches):
         for part, texts in text_slices(batches, size=4_000_000):
             got = hits(texts, phrases)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(0),
-                    pa.array([g[0] for g in got], pa.int64()),
-                    pa.array([[s for s, _ in g[1]] for g in got], pa.list_(pa.int64())),
-                    pa.array([[e for _, e in g[1]] for g in got], pa.list_(pa.int64())),
-                    pa.array([g[2] for g in got], pa.list_(pa.string())),
-                ],
-                names=["id", "n_words", "starts", "ends", "items"],
-            )
+            if "starts" in part.schema.names:
+                old = part.to_pydict()
+                got = [
+                    (n, merged([*spans, *zip(a, b)]), sorted({*items, *c})) for (n, spans, items), a, b, c in zip(got, old["starts"], old["ends"], old["items"])
+                ]
+            columns = [[g[0] for g in got], [[s for s, _ in g[1]] for g in got], [[e for _, e in g[1]] for g in got], [g[2] for g in got]]
+            arrays = [part.column(0), *([part.column(1)] if more else []), *[pa.array(c, kind) for c, (_, kind) in zip(columns, _SPANS)]]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", *(["text"] if more else []), *[n for n, _ in _SPANS]])
 
     return kernel
 
 
-def _blocks(benchmark: DataFrame, item: str, item_text: str, window: int, block_words: int) -> list[Phrases]:
-    """The benchmark's phrases, in blocks of at most ``block_words`` words (an item more)."""
+def _blocks(benchmark: DataFrame, item: str, item_text: str, window: int, block_words: int):
+    """The benchmark's phrases, in blocks of at most ``block_words`` words (an item more), and whether more follow."""
     rows = only(benchmark, item, item_text).where(F.col(f"`{item_text}`").isNotNull()).select(F.col(f"`{item}`").cast("string"), F.col(f"`{item_text}`"))
-    blocks, block, size = [], [], 0
+    block, size, full = [], 0, None
     for i, t in rows.orderBy(*rows.columns).toLocalIterator():
+        if full is not None:
+            yield Phrases(full, window), True
+            full = None
         block.append((i if i is not None else "", t.encode()))
         size += len(words(block[-1][1]))
         if size >= block_words:
-            blocks.append(Phrases(block, window))
-            block, size = [], 0
-    if block or not blocks:
-        blocks.append(Phrases(block, window))
-    return blocks
+            full, block, size = block, [], 0
+    if full is not None and block:
+        yield Phrases(full, window), True
+        full = None
+    yield Phrases(full or block, window), False
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", id: str = "doc_id", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Rows (id, n_words, starts, ends, items): merged spans of hit words and the items found.
 
-    The benchmark goes to the executors in blocks of at most ``block_words`` words (an item more),
-    so what travels is bounded however large it is; spans of several blocks are merged by id.
+    The benchmark passes the driver in blocks of at most ``block_words`` words (an item more). Each
+    block adds to the rows that the block before it wrote, so every row stays its own.
     """
     own = only(docs, id, text).withColumnsRenamed({id: "id", text: "text"}).withColumn("id", F.col("id").cast("long"))
-    blocks = _blocks(benchmark, item, item_text, window, block_words)
-    found = [own.mapInArrow(thrifty(_kernel(b)), _OUT) for b in blocks]
-    if len(found) == 1:
-        return found[0].withColumnRenamed("id", id)
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    pairs = F.flatten(F.collect_list(F.arrays_zip("starts", "ends")))
-    merged = F.aggregate(
-        F.array_sort("pairs"),
-        F.expr("cast(array() as array<struct<starts:bigint,ends:bigint>>)"),
-        lambda acc, s: F.when(
-            (F.size(acc) > 0) & (s["starts"] <= F.element_at(acc, -1)["ends"]),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["starts"].alias("starts"), F.greatest(F.element_at(acc, -1)["ends"], s["ends"]).alias("ends")))),
-        ).otherwise(F.concat(acc, F.array(s))),
-    )
-    return (
-        out.groupBy("id")
-        .agg(F.max("n_words").alias("n_words"), pairs.alias("pairs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        .withColumn("pairs", merged)
-        .select(F.col("id").alias(id), "n_words", F.col("pairs.starts").alias("starts"), F.col("pairs.ends").alias("ends"), "items")
-    )
+    out, last = own, None
+    for phrases, more in _blocks(benchmark, item, item_text, window, block_words):
+        found = out.mapInArrow(thrifty(_kernel(phrases, more)), _OUT.replace("long, n_words", "long, text string, n_words") if more else _OUT)
+        if not more:
+            return found.withColumnRenamed("id", id)
+        out = materialize(found, "found-spans")
+        if last is not None:
+            drop(last)
+        last = out
 
 
 def digest_columns(found: DataFrame, id: str = "doc_id") -> DataFrame:
@@ -311,7 +313,8 @@ def remove_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", n_chars: str = "n_chars", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``docs`` without the words of benchmark passages, ``n_chars`` brought up to date.
 
-    A row that loses all its words goes. Where two ends that meet make up a passage, it goes too.
+    A row that loses all its words goes. Where two ends that meet make up a passage, it goes too:
+    all blocks are asked again until none finds anything.
     """
 
     def cleaning(phrases: Phrases):
@@ -340,7 +343,14 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", n_chars: st
 
         return kernel
 
-    out = docs
-    for block in _blocks(benchmark, item, item_text, window, block_words):
-        out = out.mapInArrow(thrifty(cleaning(block)), docs.schema)
-    return out
+    out, blocks = docs, 0
+    while True:
+        for phrases, more in _blocks(benchmark, item, item_text, window, block_words):
+            last, out, blocks = out, out.mapInArrow(thrifty(cleaning(phrases)), docs.schema), blocks + 1
+            if more or blocks > 1:
+                out = materialize(out, "cleaned")
+                if last is not docs:
+                    drop(last)
+        # One block leaves nothing that it would find itself.
+        if blocks == 1 or contamination(out.withColumn("__no_id", F.lit(0)), benchmark, text, "__no_id", item, item_text, window, block_words).where("size(starts) > 0").isEmpty():
+            return out

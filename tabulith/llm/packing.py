@@ -6,11 +6,10 @@ best-fit, largest first, and emits the bins that are full enough. The rest climb
 of neighbouring nodes merge, their underfull bins are items of a further best-fit round, until
 one root is left.
 
-What a node passes on is small however large the input is. After a best-fit round no two of its
-bins fit together, so at most one is at most half full; the others can only take such a small bin
-of one of the other nodes, and one merge uses up one small bin. With ``fan_in`` nodes to a parent
-the small bin and the ``fan_in`` emptiest of the others are therefore all that can matter, at this
-parent and at any above it.
+A bin climbs if it is underfull and could hold, or be held beside, the emptiest underfull bin of
+all; what climbs is 16 bytes a bin and a member. Bins that nothing fits are done where they are.
+After a best-fit round no two bins of a node fit together, so at most one of them is half full or
+less, and others climb only as far as such small bins leave them a partner.
 
 Defined results: a null text counts as empty and gives one piece, the separator alone; a null id
 stays null; repeated rows are packed each; an empty table gives no rows; other columns are ignored.
@@ -33,8 +32,6 @@ SEPARATOR = 0
 FAN_IN = 8
 #: A bin with this share of the capacity or less left is full enough.
 SLACK = 1 / 256
-#: Pieces that a partition packs at once; it bounds its memory.
-LOCAL_PIECES = 200_000
 
 
 def encoder(path: str, limit: int = 300_000):
@@ -126,46 +123,46 @@ def best_fit(sizes: list[int], capacity: int) -> tuple[list[int], list[int], lis
     return bins, offsets, fill
 
 
-def passed_on(fill: list[int], capacity: int, fan_in: int, slack: float) -> list[int]:
-    """The bins that may still gain: underfull ones, by the bound in the module's text."""
-    under = sorted((b for b, f in enumerate(fill) if f < capacity * (1 - slack)), key=lambda b: (fill[b], b))
-    small = [b for b in under if 2 * fill[b] <= capacity]
-    return small + [b for b in under if 2 * fill[b] > capacity][:fan_in]
+def underfull(fill: list[int], capacity: int, slack: float) -> set[int]:
+    """The bins that are not full enough."""
+    return {b for b, f in enumerate(fill) if f < capacity * (1 - slack)}
 
 
 _PIECES = "id long, piece int, start long, length long, ids_crc32 long, node long, bin long, offset long, bin_fill long, up boolean"
 
 
-def _encode_and_pack(path: str, capacity: int, separator: int, fan_in: int, slack: float):
-    def pack(rows, node, base):
-        bins, offsets, fill = best_fit([r[3] for r in rows], capacity)
-        up = set(passed_on(fill, capacity, fan_in, slack))
-        cols = list(zip(*rows))
-        arrays = [
-            pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64()),
-            pa.array([node] * len(rows), pa.int64()), pa.array([b + base for b in bins], pa.int64()), pa.array(offsets, pa.int64()),
-            pa.array([fill[b] for b in bins], pa.int64()), pa.array([b in up for b in bins]),
-        ]
-        names = [x.split()[0] for x in _PIECES.split(", ")]
-        whole = pa.RecordBatch.from_arrays(arrays, names=names)
-        return [whole.slice(i, 10_000) for i in range(0, len(rows), 10_000)], len(fill)
-
+def _encode_and_pack(path: str, capacity: int, separator: int, slack: float):
     def kernel(batches):
+        from array import array
+
         from pyspark import TaskContext
 
         encode, tail = in_worker(f"encode {path}", lambda: encoder(path)), int(separator).to_bytes(4, "little")
-        node, base, rows = TaskContext.get().partitionId(), 0, []
+        # All pieces of the partition, as plain numbers: ids may be null.
+        ids_, known, piece, start_, length, crc = array("q"), array("b"), array("i"), array("q"), array("q"), array("q")
         for part, texts in text_slices(batches, size=3_000_000):
             for i, ids in zip(part.column(0).to_pylist(), encode(texts)):
                 ids += tail
                 for k, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
-                    rows.append((i, k, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)])))
-            if len(rows) >= LOCAL_PIECES:
-                out, bins = pack(rows, node, base)
-                yield from out
-                base, rows = base + bins, []
-        if rows:
-            yield from pack(rows, node, base)[0]
+                    ids_.append(i or 0)
+                    known.append(i is not None)
+                    piece.append(k)
+                    start_.append(start)
+                    length.append(n)
+                    crc.append(zlib.crc32(ids[4 * start : 4 * (start + n)]))
+        node, sizes = TaskContext.get().partitionId(), length.tolist()
+        bins, offsets, fill = best_fit(sizes, capacity)
+        up = underfull(fill, capacity, slack)
+        names = [x.split()[0] for x in _PIECES.split(", ")]
+        for a in range(0, len(sizes), 10_000):
+            b = slice(a, a + 10_000)
+            own = bins[b]
+            arrays = [
+                pa.array(np.array(ids_[b], np.int64), mask=np.array(known[b], np.int8) == 0), pa.array(np.array(piece[b], np.int32)),
+                *[pa.array(np.array(x[b], np.int64)) for x in (start_, length, crc)], pa.array([node] * len(own), pa.int64()), pa.array(own, pa.int64()),
+                pa.array(offsets[b], pa.int64()), pa.array([fill[x] for x in own], pa.int64()), pa.array([x in up for x in own]),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return kernel
 
@@ -173,7 +170,7 @@ def _encode_and_pack(path: str, capacity: int, separator: int, fan_in: int, slac
 _RESIDUAL = "node long, fill long, members array<struct<home:long,bin:long,at:long>>, up boolean"
 
 
-def _merge(capacity: int, fan_in: int, slack: float, last: bool):
+def _merge(capacity: int, slack: float, least: int, last: bool):
     """One node's round: its bins are items; members keep where each first bin stands."""
 
     def kernel(key, table):
@@ -184,7 +181,7 @@ def _merge(capacity: int, fan_in: int, slack: float, last: bool):
         out: list[list[dict]] = [[] for _ in fill]
         for i, (b, at) in enumerate(zip(bins, offsets)):
             out[b] += [{"home": m["home"], "bin": m["bin"], "at": m["at"] + at} for m in members[i]]
-        up = set() if last else set(passed_on(fill, capacity, fan_in, slack))
+        up = set() if last else {b for b in underfull(fill, capacity, slack) if fill[b] + least <= capacity}
         member = pa.list_(pa.struct([("home", pa.int64()), ("bin", pa.int64()), ("at", pa.int64())]))
         return pa.table({
             "node": pa.array([key[0].as_py()] * len(fill), pa.int64()), "fill": pa.array(fill, pa.int64()),
@@ -197,16 +194,17 @@ def _merge(capacity: int, fan_in: int, slack: float, last: bool):
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator: int = SEPARATOR, fan_in: int = FAN_IN, slack: float = SLACK, text: str = "text", id: str = "doc_id") -> DataFrame:
     """Rows (id, piece, start, length, ids_crc32, sequence_id, offset), one for each piece."""
     own = only(docs, id, text).withColumnsRenamed({id: "id", text: "text"}).withColumn("id", F.col("id").cast("long"))
-    pieces = materialize(own.mapInArrow(thrifty(_encode_and_pack(tokenizer, capacity, separator, fan_in, slack)), _PIECES), "pieces")
+    pieces = materialize(own.mapInArrow(thrifty(_encode_and_pack(tokenizer, capacity, separator, slack)), _PIECES), "pieces")
+    top, least = pieces.agg(F.max("node"), F.min(F.when(F.col("up"), F.col("bin_fill")))).first()
+    pieces = pieces.withColumn("up", F.col("up") & (F.col("bin_fill") + (least or 0) <= capacity))
     residual = (
         pieces.where("up and offset = 0")
         .select("node", F.col("bin_fill").alias("fill"), F.array(F.struct(F.col("node").alias("home"), "bin", F.lit(0).cast("long").alias("at"))).alias("members"))
     )
-    top = pieces.agg(F.max("node")).first()[0]
     nodes, done = (top or 0) + 1, []
     while nodes > 1:
         nodes = -(-nodes // fan_in)
-        level = residual.withColumn("node", F.expr(f"node div {fan_in}")).groupBy("node").applyInArrow(_merge(capacity, fan_in, slack, nodes == 1), _RESIDUAL)
+        level = residual.withColumn("node", F.expr(f"node div {fan_in}")).groupBy("node").applyInArrow(_merge(capacity, slack, least, nodes == 1), _RESIDUAL)
         level = materialize(level, "residuals")
         done.append(level.where("not up"))
         residual = level.where("up").drop("up")
