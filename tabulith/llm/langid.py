@@ -5,9 +5,11 @@ word is the sum over all its segmentations into pieces, which a forward pass giv
 the product over its words. Distributions are fitted by expectation maximisation over the same
 lattices, on a bounded sample of labelled texts.
 
-Words are lower-cased and lose ASCII digits and punctuation; one that is longer than
-``MAX_WORD`` letters is scored in stretches of that length. A character that no piece covers
-counts as one piece of a fixed small probability, alike for every language.
+Words are lower-cased and lose ASCII digits and punctuation. A character that no piece covers
+counts as one piece of a fixed small probability, alike for every language. The score is the best
+language's share of the likelihood of the text's average word, so that it tells how clear a text
+is whatever its length. ``keep_known`` asks besides that the likelihood of the average letter is
+not far below what labelled texts of the language have, which foreign texts and gibberish miss.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter; ties between
 languages go to the first by name; an empty table gives no rows; a table without labelled texts
@@ -23,16 +25,10 @@ from pyspark.sql import functions as F
 
 from tabulith.llm.common import only, text_slices, thrifty
 
-#: Letters scored in one forward pass.
-MAX_WORD = 40
-#: Longest piece that is used, in characters, with the mark of a word's start.
-MAX_PIECE = 10
 #: Labelled texts of each language that are learned from, about (rows are chosen by a hash of their id).
 SAMPLE_TEXTS = 1500
-#: Distinct words of each language in the fit, the most frequent first.
-SAMPLE_WORDS = 40_000
-#: Languages that a model may hold.
-MAX_LANGUAGES = 400
+#: Share of a language's labelled texts that may lie below its floor, and nats a letter that the floor lies lower.
+FLOOR_SHARE, FLOOR_MARGIN = 0.02, 1.0
 ITERATIONS = 3
 UNKNOWN = 1e-7
 START = "▁"
@@ -40,13 +36,10 @@ START = "▁"
 _TABLE = bytes(c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
 
-def stretches(word: bytes) -> list[str]:
-    """A raw word as the strings that are scored; without a letter, none."""
+def scored(word: bytes) -> str:
+    """A raw word as the string that is scored; without a letter, none."""
     s = word.decode().lower()
-    if not any(map(str.isalpha, s)):
-        return []
-    s = START + s
-    return [s[i : i + MAX_WORD] for i in range(0, len(s), MAX_WORD)]
+    return START + s if any(map(str.isalpha, s)) else ""
 
 
 class Pieces:
@@ -59,7 +52,8 @@ class Pieces:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         names = {sp.id_to_piece(i).lower() for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
-        self.names = sorted(p for p in names if 0 < len(p) <= MAX_PIECE)
+        self.names = sorted(p for p in names if p)
+        self.longest = max(map(len, self.names))
         keys = np.zeros(len(self.names), np.uint64)
         for n, p in enumerate(self.names):
             k = np.uint64(0)
@@ -99,7 +93,7 @@ class Pieces:
         codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), length).astype(np.uint64) + np.uint64(1)
         for i in range(length):
             key = np.zeros(len(words), np.uint64)
-            for j in range(i + 1, min(length, i + MAX_PIECE) + 1):
+            for j in range(i + 1, min(length, i + self.longest) + 1):
                 key = (key + codes[:, j - 1]) * self.PRIME
                 piece = self.find(key)
                 if j == i + 1 or (piece >= 0).any():
@@ -126,7 +120,7 @@ def forward(pieces: Pieces, table: np.ndarray, words: list[str]) -> np.ndarray:
                     at = i
                     top = alpha[i].max(axis=1, keepdims=True)
                     scale += np.log(top)
-                    alpha[i : i + MAX_PIECE] /= top
+                    alpha[i : i + pieces.longest] /= top
                 if j == i + 1:
                     alpha[j] += alpha[i] * table[piece]
                 else:
@@ -143,17 +137,31 @@ def expected(pieces: Pieces, probs: np.ndarray, words: list[str], weights: np.nd
         for a in range(0, len(places), 20_000):
             part = places[a : a + 20_000]
             edges = [(i, j, p) for i, j, p in pieces.lattice([words[x] for x in part], length)]
+            # Sums are kept in range: alpha[i] and beta[i] stand for exp(up[i]) and exp(down[i]) times themselves.
             alpha = np.zeros((length + 1, len(part)))
             beta = np.zeros((length + 1, len(part)))
+            up, down = np.zeros((length + 1, len(part))), np.zeros((length + 1, len(part)))
             alpha[0] = beta[length] = 1
+            chance = lambda i, j, p: np.where(p >= 0, probs[p], UNKNOWN if j == i + 1 else 0)
+            into: dict[int, list] = {}
+            out_of: dict[int, list] = {}
             for i, j, p in edges:
-                alpha[j] += alpha[i] * np.where(p >= 0, probs[p], UNKNOWN if j == i + 1 else 0)
-            for i, j, p in sorted(edges, key=lambda e: -e[1]):
-                beta[i] += beta[j] * np.where(p >= 0, probs[p], UNKNOWN if j == i + 1 else 0)
-            w = weights[part] / np.maximum(alpha[length], 1e-300)
+                into.setdefault(j, []).append((i, p))
+                out_of.setdefault(i, []).append((j, p))
+            for j in range(1, length + 1):
+                up[j] = up[j - 1]
+                alpha[j] = sum(alpha[i] * np.exp(up[i] - up[j]) * chance(i, j, p) for i, p in into[j])
+                up[j] += np.log(alpha[j])
+                alpha[j] = 1
+            for i in range(length - 1, -1, -1):
+                down[i] = down[i + 1]
+                beta[i] = sum(beta[j] * np.exp(down[j] - down[i]) * chance(i, j, p) for j, p in out_of[i])
+                down[i] += np.log(beta[i])
+                beta[i] = 1
             for i, j, p in edges:
                 hit = p >= 0
-                total += np.bincount(p[hit], (alpha[i] * probs[p] * beta[j] * w)[hit], len(total))
+                share = np.exp(up[i] + down[j] - up[length]) * probs[p] * weights[part]
+                total += np.bincount(p[hit], share[hit], len(total))
     return total
 
 
@@ -171,14 +179,14 @@ def _count_words(batches):
 
 
 class Model:
-    def __init__(self, languages: list[str], pieces: Pieces | None, table: np.ndarray | None):
-        self.languages, self.pieces, self.table = languages, pieces, table
+    def __init__(self, languages: list[str], pieces: Pieces | None, table: np.ndarray | None, floors: dict[str, float] | None = None):
+        self.languages, self.pieces, self.table, self.floors = languages, pieces, table, floors or {}
 
 
-def fit(labelled: DataFrame, vocabulary: str, text: str = "text", lang: str = "lang", id: str = "doc_id", sample_texts: int = SAMPLE_TEXTS, sample_words: int = SAMPLE_WORDS, iterations: int = ITERATIONS) -> Model:
+def fit(labelled: DataFrame, vocabulary: str, text: str = "text", lang: str = "lang", id: str = "doc_id", sample_texts: int = SAMPLE_TEXTS, iterations: int = ITERATIONS) -> Model:
     """Learn from about ``sample_texts`` rows of each language, chosen by a hash of their id."""
     own = only(labelled, id, text, lang).withColumnsRenamed({id: "id", text: "text", lang: "lang"}).where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], None, None)
@@ -186,14 +194,11 @@ def fit(labelled: DataFrame, vocabulary: str, text: str = "text", lang: str = "l
     draw = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)) / (1 << 30)
     sample = own.where(F.coalesce(draw < share[F.col("lang")], F.lit(False))).select("lang", "text")
     counts = sample.mapInArrow(thrifty(_count_words), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    from pyspark.sql import Window
-
-    top = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("r") <= sample_words)
-    got = top.select("lang", "word", "n").toArrow()
+    got = counts.toArrow()
     pieces = Pieces(vocabulary)
     by = {k: ([], []) for k in languages}
     for k, w, n in zip(got["lang"].to_pylist(), got["word"].to_pylist(), got["n"].to_pylist()):
-        for s in stretches(w):
+        if s := scored(w):
             by[k][0].append(s)
             by[k][1].append(n)
     table = np.full((len(pieces.names) + 1, len(languages)), UNKNOWN)  # piece -1 is the last row
@@ -203,46 +208,47 @@ def fit(labelled: DataFrame, vocabulary: str, text: str = "text", lang: str = "l
             used = expected(pieces, probs, by[k][0], np.array(by[k][1], float))
             probs = (used + 0.01) / (used.sum() + 0.01 * len(used))
         table[:-1, c] = probs
-    return Model(languages, pieces, table)
+    model = Model(languages, pieces, table)
+    letters = lambda part, names, score, letter: pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(letter)], names=["lang", "found", "letter"])
+    own = sample.mapInArrow(thrifty(_predict(model, letters)), "lang string, found string, letter double").where("lang = found")
+    low = own.groupBy("lang").agg(F.percentile_approx("letter", FLOOR_SHARE).alias("low")).collect()
+    model.floors = {r["lang"]: r["low"] - FLOOR_MARGIN for r in low}
+    return model
 
 
 def _predict(model: Model, use, text: str = "text", limit: int = 300_000):
-    """Kernel that yields ``use(batch, languages, scores)`` for every slice."""
+    """Kernel that yields ``use(batch, languages, scores, log-likelihoods of the average letter)`` for every slice."""
     languages, pieces, table = model.languages, model.pieces, model.table
 
     def kernel(batches):
         number: dict[bytes, int] = {}
         logs = np.zeros((0, len(languages)))
-        letter = np.zeros(0, bool)
+        letters = np.zeros(0, np.int64)
         for part, texts in text_slices(batches, text):
             if len(number) > limit:
                 number.clear()
-                logs, letter = logs[:0], letter[:0]
+                logs, letters = logs[:0], letters[:0]
             lists = [t.translate(_TABLE).split() for t in texts]
             flat = [w for x in lists for w in x]
             new = [w for w in dict.fromkeys(flat) if w not in number]
             if new:
                 number.update(zip(new, range(len(logs), len(logs) + len(new))))
-                owner, parts = [], []
-                for n, w in enumerate(new):
-                    for s in stretches(w):
-                        owner.append(n)
-                        parts.append(s)
+                strings = [scored(w) for w in new]
+                owner = np.flatnonzero([bool(x) for x in strings])
                 values = np.zeros((len(new), len(languages)))
-                if parts:
-                    np.add.at(values, np.array(owner), forward(pieces, table, parts))
-                has = np.zeros(len(new), bool)
-                has[owner] = True
-                logs, letter = np.concatenate([logs, values]), np.concatenate([letter, has])
+                if len(owner):
+                    values[owner] = forward(pieces, table, [strings[n] for n in owner])
+                logs, letters = np.concatenate([logs, values]), np.concatenate([letters, np.array([len(x) for x in strings], np.int64)])
             at = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
             doc = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-            with_letter = np.bincount(doc, letter[at], len(lists)) > 0
+            n_letters = np.bincount(doc, letters[at], len(lists))
+            n_words = np.maximum(np.bincount(doc, letters[at] > 0, len(lists)), 1)[:, None]
             sums = np.stack([np.bincount(doc, logs[at, c], len(lists)) for c in range(len(languages))], axis=1)
-            odds = np.exp(sums - sums.max(axis=1, keepdims=True))
+            odds = np.exp((sums - sums.max(axis=1, keepdims=True)) / n_words)
             best = odds.argmax(axis=1)
-            score = np.where(with_letter, odds.max(axis=1) / odds.sum(axis=1), 0.0)
-            names = [languages[b] if ok else "und" for b, ok in zip(best, with_letter)]
-            yield use(part, names, score)
+            score = np.where(n_letters > 0, odds.max(axis=1) / odds.sum(axis=1), 0.0)
+            names = [languages[b] if ok else "und" for b, ok in zip(best, n_letters > 0)]
+            yield use(part, names, score, sums.max(axis=1) / np.maximum(n_letters, 1))
 
     return kernel
 
@@ -253,15 +259,16 @@ def predict(docs: DataFrame, model: Model, text: str = "text", id: str = "doc_id
     kind = own.schema["id"].dataType.simpleString()
     if not model.languages:
         return own.select(F.col("id").alias(id), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    row = lambda part, names, score: pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(score)], names=["id", "lang_pred", "score"])
+    row = lambda part, names, score, letter: pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(score)], names=["id", "lang_pred", "score"])
     return own.mapInArrow(thrifty(_predict(model, row)), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id)
 
 
 def keep_known(docs: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` with a language whose score is ``least`` or more; without a model, all."""
+    """The rows of ``docs`` with a language whose score is ``least`` or more and whose letters are as likely as the language's floor asks; without a model, all."""
     if not model.languages:
         return docs
-    sure = lambda part, names, score: part.filter(pa.array([n != "und" and s >= least for n, s in zip(names, score)], pa.bool_()))
+    floors = model.floors
+    sure = lambda part, names, score, letter: part.filter(pa.array([n != "und" and s >= least and x >= floors.get(n, -np.inf) for n, s, x in zip(names, score, letter)], pa.bool_()))
     return docs.mapInArrow(thrifty(_predict(model, sure, text)), docs.schema)
 
 

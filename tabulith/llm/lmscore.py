@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import GOLD, LEAST_BUCKETS, bucket_of, bucket_start, drop, give_back, in_worker, materialize, mix, only, order_of, pack_counts, pack_keys, shuffle_parts, text_slices, thrifty, unpack_counts, unpack_keys, word_hasher
+from tabulith.llm.common import GOLD, LEAST_BUCKETS, bucket_of, bucket_start, drop, give_back, materialize, mix, only, order_of, pack_counts, pack_keys, shuffle_parts, text_slices, thrifty, unpack_counts, unpack_keys
 
 DEPTH = 2
 MIN_COUNT = 8
@@ -56,22 +56,26 @@ def in_training(ids, folds: int) -> np.ndarray:
 
 
 def _shards(batches):
+    from itertools import chain
+
+    import xxhash
     from pyspark import TaskContext
 
-    hashed = in_worker("word hashes", word_hasher)
-    chunk = TaskContext.get().partitionId() << 32
+    shard = TaskContext.get().partitionId() << 32
     for part, texts in text_slices(batches, size=SHARD_BYTES):
         lists = [t.lower().split() for t in texts]
         sizes = np.array([len(x) + 1 for x in lists], np.uint32)
-        flat = np.empty(int(sizes.sum()), np.uint64)
-        ends = np.cumsum(sizes) - 1
-        word = np.ones(len(flat), bool)
-        word[ends] = False
-        flat[ends] = END
-        flat[word] = np.fromiter((hashed(w) for x in lists for w in x), np.uint64, int(word.sum()))
-        vocabulary, of = _numbered(flat)
-        yield from _table([(_SHARD, 0, chunk, part.column(0).to_pylist(), _planes(of), vocabulary.tobytes(), sizes.tobytes(), None)]).to_batches()
-        chunk += 1
+        # Each distinct word is hashed once, and tokens are numbered by their words' hashes.
+        words_ = dict.fromkeys(chain.from_iterable(lists))
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words_), np.uint64, len(words_))
+        vocabulary, number = np.unique(np.append(hashes, END), return_inverse=True)
+        rank = dict(zip(words_, number.tolist()))
+        of = np.full(int(sizes.sum()), number[-1], np.int64)
+        word = np.ones(len(of), bool)
+        word[np.cumsum(sizes) - 1] = False
+        of[word] = np.fromiter(map(rank.__getitem__, chain.from_iterable(lists)), np.int64, int(word.sum()))
+        yield from _table([(_SHARD, 0, shard, part.column(0).to_pylist(), _planes(of), vocabulary.tobytes(), sizes.tobytes(), None)]).to_batches()
+        shard += 1
 
 
 def _planes(numbers: np.ndarray) -> bytes:
@@ -83,18 +87,6 @@ def _from_planes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def _numbered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes in order, and each one's number among them."""
-    order = order_of(hashes >> np.uint64(24), 40)
-    ordered = hashes[order]
-    if (ordered[1:] < ordered[:-1]).any():  # two that agree in 40 bits
-        return np.unique(hashes, return_inverse=True)
-    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    of = np.empty(len(hashes), np.int64)
-    of[order] = np.cumsum(new) - 1
-    return ordered[new], of
-
-
 def _values(kind: int, raw: bytes) -> np.ndarray:
     return unpack_counts(raw) if kind % 10 == _COUNT else np.frombuffer(raw, np.float64)
 
@@ -199,15 +191,19 @@ class Shard:
         first = x["first"][mine]
         c, n = x["total"][mine], x["n"][first]
         distinct = self.totals(10 * d + _DISTINCT)[0][x["context_of"][first]]
-        below = self.probabilities(d - 1)[x["at"][first]]
+        below = self.probabilities(d - 1)[x["at"][first]] if d > 1 else self.base(self.of[x["at"][first]])
         rest = distinct - (c == 1)
         gain = c * (np.log(np.maximum(c - 1 + rest * below, 1e-300)) - np.log(n - 1 + rest) - np.log(below))
         return x["contexts"], np.bincount(x["context_of"][first], gain, len(x["contexts"]))
 
-    def probabilities(self, d: int) -> np.ndarray:
-        """Of every token, by the longest state of at most d words."""
+    def base(self, words: np.ndarray) -> np.ndarray:
+        """Probabilities without a context, of words by their numbers."""
         s = self.settings
-        p = ((self.totals(_COUNT)[0] + ALPHA) / (s["tokens"] + ALPHA * (s["distinct"] + 1)))[self.of]
+        return ((self.totals(_COUNT)[0] + ALPHA) / (s["tokens"] + ALPHA * (s["distinct"] + 1)))[words]
+
+    def probabilities(self, d: int, base: np.ndarray | None = None) -> np.ndarray:
+        """Of every token, by the longest state of at most d words; ``base`` is changed."""
+        p = self.base(self.of) if base is None else base
         for k in range(1, d + 1):
             x = self.level(k)
             if not len(x["at"]):
@@ -222,10 +218,12 @@ class Shard:
         doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
         add = lambda v: np.bincount(doc, v, len(self.sizes))
         known = (self.totals(_COUNT)[0] > 0)[self.of]
+        p = self.base(self.of)
+        base_score = add(np.log10(p))
         return pa.table({
             "id": pa.array(self.ids, pa.int64()), "held_out": pa.array(~self.train_doc), "n_tokens": pa.array(self.sizes),
-            "n_known": pa.array(add(known).astype(np.int64)), "base_score": pa.array(add(np.log10(self.probabilities(0)))),
-            "score": pa.array(add(np.log10(self.probabilities(self.depth)))),
+            "n_known": pa.array(add(known).astype(np.int64)), "base_score": pa.array(base_score),
+            "score": pa.array(add(np.log10(self.probabilities(self.depth, p)))),
         })
 
 

@@ -276,7 +276,7 @@ def test_forward_sums_all_segmentations():
     def total(word, c):
         a = [1.0] + [0.0] * len(word)
         for j in range(1, len(word) + 1):
-            for i in range(max(0, j - langid.MAX_PIECE), j):
+            for i in range(max(0, j - pieces.longest), j):
                 p = word[i:j]
                 if p in number:
                     a[j] += a[i] * table[number[p], c]
@@ -284,6 +284,30 @@ def test_forward_sums_all_segmentations():
                     a[j] += a[i] * langid.UNKNOWN
         return np.log(a[-1])
 
-    words = ["▁the", "▁und", "▁thereable", "▁ñandóß", "▁x" + "ab" * 15]
+    words = ["▁the", "▁und", "▁thereable", "▁ñandóß", "▁x" + "ab" * 15, "▁information", "▁" + "abc" * 60]
     got = langid.forward(pieces, table, words)
     assert np.allclose(got, [[total(w, 0), total(w, 1)] for w in words])
+
+
+def test_scores_tell_how_clear_a_text_is(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet").where("lang is not null")
+    model = langid.fit(d, tokenizer_path("piece_bpe_32k.model"), sample_texts=150)
+    one = {r.lang: r.text for r in d.where("length(text) > 2000").orderBy("doc_id").collect()}
+    a, b = (one[k][:1500] for k in sorted(one)[:2])
+    rows = [(1, a), (2, b), (3, a + " " + b), (4, "Съешь же ещё этих мягких французских булок, да выпей чаю " * 3), (5, "qzxv wkjq zzxqk vvkqj xqzw " * 6), (6, "κλμ " * 30)]
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string")
+    score = {r.doc_id: r.score for r in langid.predict(docs_, model).collect()}
+    assert score[3] < min(score[1], score[2])
+    assert {r.doc_id for r in langid.keep_known(docs_, model, 0.3).collect()} == {1, 2, 3}
+    kept = langid.keep_known(d, model, 0.3)
+    labels = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1")
+    assert labels.join(d, "doc_id", "left_semi").join(kept, "doc_id", "left_anti").count() == 0
+
+
+def test_tokenizers_that_keep_white_space(spark):
+    path = tokenizer_path("byte_bpe_50k.json")
+    tk = Tokenizer.from_file(path)
+    rows = [(1, "a  b"), (2, "a b"), (3, " a\n\n b "), (4, None)]
+    got = {r.doc_id: r.n_tokens for r in tokencount.token_counts(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()}
+    assert got == {i: len(tk.encode(t or "", add_special_tokens=False)) for i, t in rows}
+    assert tokencount.drops_white_space(tokenizer_path("word_bpe_49k.json"))
