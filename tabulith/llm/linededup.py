@@ -21,8 +21,8 @@ equal. A like line counts as earlier whether it stays itself or not.
 
 3. Keys that one line alone emits are dropped. Lines of the others meet within classes of like
    length, the earliest of the class first; those that are not like it meet the others. Pairs
-   whose lengths or counts of first letters differ too much go at once, then those whose first
-   letters have too large an edit distance, which is never above that of the words.
+   whose lengths differ too much go at once, and those whose first letters have too large an edit
+   distance, which is never above that of the words.
 4. Edits are verified on the words themselves, and the text is rebuilt without removed lines.
 
 Defined results: a null text stays null; an empty one stays empty; null ids come last and count as
@@ -91,31 +91,25 @@ def _stretches(e: int) -> str:
     return f"array_distinct(flatten(transform(array(transform(split(line, ' '), x -> xxhash64(x))), h -> flatten(transform({sizes}, w -> {places})))))"
 
 
-#: First letters that are counted, as they are frequent in many languages.
-_LETTERS = "adelpstc"
-
-
 def _initials_of(line: str) -> Column:
     """The first letters of a line's words."""
     return F.expr(f"array_join(transform(split({line}, ' '), x -> left(x, 1)), '')")
 
 
-def _initials() -> list[Column]:
-    """Counts of eight first letters in two numbers, 16 bits each."""
-    count = lambda c: F.least(F.octet_length("initials") - F.octet_length(F.replace("initials", F.lit(c), F.lit(""))), F.lit(32767)).cast("long")
-    four = lambda letters: sum((count(c) * F.lit(1 << 16 * i) for i, c in enumerate(letters)), F.lit(0).cast("long"))
-    return [four(_LETTERS[:4]).alias("i1"), four(_LETTERS[4:]).alias("i2")]
-
-
 #: Lines of a key from which they meet by classes of length: fewer comparisons, more rows.
 CROWD = 100
 
 
-def _may(first: str, second: str, e: int = WORDS_PER_EDIT) -> str:
-    """Whether a line stands earlier than another and lengths and first letters allow that they are alike."""
-    letters = " + ".join(f"abs((shiftright({first}i{j}, {16 * i}) & 65535) - (shiftright({second}i{j}, {16 * i}) & 65535))" for j in (1, 2) for i in range(4))
-    bound = f"least({first}n, {second}n) div {e}"
-    return f"{second}place > {first}place and abs({first}n - {second}n) <= {bound} and {letters} <= 2 * ({bound})"
+#: First letters that travel with a line's keys.
+HEAD = 48
+
+
+def _may(first: str, second: str, e: int) -> str:
+    """Whether a line stands earlier than another and lengths and first letters allow that they are alike.
+
+    Heads of lines within k edits are within 2 k: what ends one may begin behind the other's end."""
+    bound = f"cast(least({first}n, {second}n) div {e} as int)"
+    return f"{second}place > {first}place and abs({first}n - {second}n) <= {bound} and levenshtein({first}head, {second}head, 2 * {bound}) >= 0"
 
 
 def near_lines(docs: DataFrame, min_words: int = MIN_WORDS, words_per_edit: int = WORDS_PER_EDIT) -> DataFrame:
@@ -133,11 +127,11 @@ def near_lines(docs: DataFrame, min_words: int = MIN_WORDS, words_per_edit: int
     keyed = keyed.withColumn("chunks", F.when(several, F.expr(_chunks()))).withColumn("sets", F.array_distinct("chunks"))
     few = several & F.expr(f"size(sets) <= 2 * (n div {e})")
     keyed = keyed.select(
-        *same, "place", "n", *_initials(), F.when(single, F.expr(_variants(e))).alias("v"), F.expr(f"slice(sets, 1, 2 * (n div {e}) + 1)").alias("c"),
+        *same, "place", "n", F.when(single | several, F.left("initials", F.lit(HEAD))).alias("head"), F.when(single, F.expr(_variants(e))).alias("v"), F.expr(f"slice(sets, 1, 2 * (n div {e}) + 1)").alias("c"),
         F.when(few, F.when(F.expr(f"size(chunks) > 2 * (n div {e})"), F.expr(_numbered(e))).otherwise(F.expr(_stretches(e)))).alias("s"),
     )
     keys = F.expr("case when v is null and s is null then c when c is null then v else concat(coalesce(v, cast(array() as array<long>)), c, coalesce(s, cast(array() as array<long>))) end")
-    kept = ("n", "i1", "i2")
+    kept = ("n", "head")
     distinct = keyed.select(*same, "place", *kept, keys.alias("keys")).groupBy(*same).agg(
         F.min("place").alias("place"), (F.count("*") > 1).alias("again"), *[F.any_value(c).alias(c) for c in kept], F.any_value("keys").alias("keys")
     )
