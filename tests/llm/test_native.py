@@ -116,5 +116,54 @@ def test_no_value_is_left(spark):
     assert n > 20
 
 
+def test_secrets_win_and_only_changes_count(spark):
+    for t in ("password: 99.99.2020", "password = 300.1.1.1", "token=2024-99-99", 'api_key="2024-02-29"', "secret: 97.51.17.173"):
+        text, n, kinds = run(spark, [t])[0]
+        assert text != t and (n, list(kinds)) == (1, ["secret"]), (t, text)
+    assert run(spark, ["99.99.2020 and 300.1.1.1"])[0][1:] == (0, [])
+
+
+def plain_feistel(s, key, tweak):
+    """The text network in plain Python."""
+    import hashlib
+    import hmac
+
+    secret = hashlib.sha256(b"pseudonyms|" + key.encode()).digest()
+    left, right = s[: len(s) // 2], s[len(s) // 2 :]
+
+    def moved(part, digest):
+        out = ""
+        for i, c in enumerate(part):
+            for low, n in (("0", 10), ("a", 26), ("A", 26)):
+                if 0 <= ord(c) - ord(low) < n:
+                    c = chr(ord(low) + (ord(c) - ord(low) + digest[i % 32]) % n)
+                    break
+            out += c
+        return out
+
+    for i in range(pii.ROUNDS):
+        digest = lambda x: hmac.new(secret, f"{tweak}|{i}|{x}".encode(), hashlib.sha256).digest()  # noqa: B023, E731
+        if i % 2 == 0:
+            left = moved(left, digest(right))
+        else:
+            right = moved(right, digest(left))
+    return left + right
+
+
+def test_networks_equal_a_plain_one_and_turn_back(spark):
+    values = {
+        "email": ["und.34@mail7.example.com"], "secret": ["04dbebab91ab85687d33", "Ab9"], "iban": ["GB82 WEST 1234 5698 7654 32", "DE00370400440532013000"],
+        "ssn": ["123-45-6789", "000-45-6789", "666-00-0000", "123-00-6789", "123-45-0000"], "date": ["2024-02-29", "31.12.1999", "12/31/1999"], "ip": ["97.51.17.173"],
+        "card": ["4539 5787 6362 1486", "1234567812345678"], "phone": ["+1 (017) 555-7713", "555-123-4567"],
+    }
+    rows = [(k, v) for k, vs in values.items() for v in vs]
+    d = spark.createDataFrame(rows, "kind string, v string").withColumn("p", pii.pseudonym(F.col("v"), F.col("kind"), KEY)).withColumn("b", pii.pseudonym(F.col("p"), F.col("kind"), KEY, back=True))
+    got = d.collect()
+    assert [r for r in got if r.b != r.v or r.p == r.v] == []
+    assert next(r.p for r in got if r.v == "04dbebab91ab85687d33") == plain_feistel("04dbebab91ab85687d33", KEY, "secret")
+    plan = pii.pseudonymise(spark.createDataFrame([(1, "x")], "doc_id long, text string"), "a very secret key")._jdf.queryExecution().toString()
+    assert "a very secret key" not in plan
+
+
 def test_pseudonyms_of_odd_rows(spark, odd, empty):
     assert pii.pseudonymise(odd, KEY).count() == len(ODD) and pii.pseudonymise(empty, KEY).count() == 0

@@ -47,14 +47,38 @@ def test_quality(spark, odd, empty):
     assert quality.judge(empty).count() == 0
 
 
-def test_cascade_orders_by_rejections_per_second_and_keeps_verdicts(spark):
-    texts = [t for _, t in docs(spark)]
-    verdicts = [not any(r(quality.Text((t or "").encode())) for r in quality.RULES.values()) for t in texts]
-    c = quality.Cascade(quality.RULES, 50)
-    assert [c.kept(quality.Text((t or "").encode())) for t in texts] == verdicts
-    gain = [c.rejects[n] / (c.seconds[n] + 1e-9) for n, _ in c.rules]
-    assert gain == sorted(gain, reverse=True)
-    assert quality.rule_report(spark.read.parquet(f"{SF}/documents.parquet")).count() == len(quality.RULES)
+def plain_kept(text):
+    """The rules, restated on characters."""
+    text = text or ""
+    n, chars, symbols, dup, _, failed = plain_quality(text)
+    w = WS.findall(text)
+    letters = [c for c in text if c.isascii() and c.isalpha() or not c.isascii()]
+    n_letters = sum(len(c.encode()) for c in letters)
+    capitals = sum("A" <= c <= "Z" for c in text)
+    lines = [x for x in text.split("\n") if WS.search(x)]
+    stretches = sum(len(set(w[a : a + 500])) for a in range(0, n, 500))
+    bad = (
+        5 * symbols > n, 2 * capitals > n_letters or 2 * text.count("!") > n, 5 * sum(a == b for a, b in zip(w, w[1:])) > n, 10 * dup > 3 * len(lines),
+        chars < 2 * n or chars > 14 * n, n >= 50 and 5 * stretches < n, 2 * n_letters < sum(len(x.encode()) for x in w),
+    )
+    return not failed and not any(bad)
+
+
+def test_verdicts(spark):
+    got = {r.doc_id: r.kept for r in queries.op1_quality_rules(spark, SF).collect()}
+    assert got == {i: plain_kept(t) for i, t in docs(spark)} and 0 < sum(got.values()) < len(got)
+    long = [" ".join(f"w{k % 4000}" for k in range(n)) for n in (20_000, 20_001)] + [" ".join(f"w{(k * k) % 90}" for k in range(n)) for n in (20_000, 20_001, 60_000)]
+    rules = {"few_distinct": quality.few_distinct}
+    assert [any(r(quality.Text(t.encode())) for r in rules.values()) for t in long] == [False, False, True, True, True]
+
+
+def test_cascade_orders_greedily_and_keeps_verdicts(spark):
+    texts = [(t or "").encode() for _, t in docs(spark)]
+    order = quality.measured(texts[:200], quality.RULES)
+    assert sorted(r[0] for r in order) == sorted(quality.RULES)
+    left = [n for _, n, _, _ in order]
+    assert left == sorted(left, reverse=True) and all(n - r == m for (_, n, r, _), m in zip(order, left[1:]))
+    assert quality.measured([], quality.RULES) and quality.rule_report(spark.read.parquet(f"{SF}/documents.parquet")).count() == len(quality.RULES)
 
 
 def test_quality_keeps_good_documents(spark):
