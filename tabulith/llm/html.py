@@ -1,9 +1,11 @@
 """Main text of web pages by two-pass block rules.
 
-The first pass labels a page's blocks by stop-word density, length and the share of text in links,
-with the containers' own words (``nav``, ``class="ad"``, ``<article>``) as further evidence. Blocks
-that are too short to tell stay open. In the second pass each open block takes the label of its
-nearest decided neighbours. Good blocks are joined in page order.
+The first pass labels every block by stop-word density, length and the share of text in links; the
+containers' own words (``nav``, ``class="ad"``, ``<article>``) are a further feature: furniture and
+what stands outside of an article is bad, and a block inside of one stays open where its words are
+too few or too unlike prose to tell. In the second pass each open block takes the label of its
+nearest decided neighbours; of two equally near ones good wins. Good blocks are joined in page
+order. Pages of any length are read whole.
 
 Defined results: a null or empty page, and one without main text, gives an empty text; broken or
 cut-off markup is read as far as it goes; repeated rows each get a row; an empty table gives no
@@ -51,8 +53,13 @@ FURNITURE_WORDS = frozenset(
 COMMENT_WORDS = frozenset("comment comments commentlist disqus respond reply replies".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_NAMED = re.compile(r"\b(class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s>]+))?")
+# Words that only place or shape what they stand beside in a class.
+PLACE_WORDS = frozenset(
+    """site page main global top bottom left right header head body box bar block container wrapper wrap inner outer content
+    list item items section area column col panel slot unit link links button buttons icon icons area zone group row post posts
+    article articles text title primary secondary fixed sticky mobile desktop small large js is the of for and by""".split()
+)
 _WORD = re.compile(r"[^\W\d_]+")
 #: Elements that never hold others.
 _VOID = frozenset("br hr img input link meta area base col embed source track wbr".split())
@@ -60,7 +67,7 @@ _CONTAINERS = BLOCKS - frozenset("p li dd dt h1 h2 h3 h4 h5 h6 td th tr tbody th
 
 GOOD, BAD, OPEN = 1, 0, -1
 SHORT, LONG = 70, 200
-STOP_LOW, LINK_HIGH = 0.12, 0.33
+STOP_LOW, STOP_HIGH, LINK_HIGH = 0.12, 0.25, 0.33
 
 
 class Block:
@@ -70,26 +77,39 @@ class Block:
         self.text, self.linked, self.furniture, self.inside = text, linked, furniture, inside
 
 
-def _names(tag: str, attributes: str) -> set[str]:
-    found: set[str] = set()
-    for _, value in _NAMED.findall(attributes):
-        found.update(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
-    return found
+def _attributes(raw: str) -> dict[str, str]:
+    return {name.lower(): value.strip("\"'") for name, value in _ATTRIBUTE.findall(raw)}
+
+
+def _hidden(attributes: dict[str, str]) -> bool:
+    if attributes.get("hidden", "until-found").lower() != "until-found" or attributes.get("aria-hidden", "").lower() == "true":
+        return True
+    return re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I) is not None
+
+
+def _named(attributes: dict[str, str], words: frozenset[str]) -> bool:
+    """Whether a whole class, id, role or label names one of the words, beside words of place alone."""
+    for key in ("class", "id", "role", "aria-label"):
+        for token in attributes.get(key, "").split():
+            parts = [p for p in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower()) if p]
+            if any(p in words for p in parts) and all(p in words or p in FURNITURE_WORDS or p in PLACE_WORDS or len(p) < 3 for p in parts):
+                return True
+    return False
 
 
-def _is_furniture(tag: str, attributes: str, inside: bool) -> bool:
+def _is_furniture(tag: str, raw: str, inside: bool) -> bool:
     if tag in FURNITURE or tag == "header" and not inside:
         return True
-    if not attributes.strip():
+    if not raw.strip():
         return False
-    if _HIDDEN.search(attributes):
+    attributes = _attributes(raw)
+    if _hidden(attributes):
         return True
     if tag in ("body", "html", "main"):
         return False
-    names = _names(tag, attributes)
     if tag == "article":
-        return bool(names & COMMENT_WORDS)
-    return bool(names & FURNITURE_WORDS) or ("header" in names and not inside)
+        return _named(attributes, COMMENT_WORDS)
+    return _named(attributes, FURNITURE_WORDS) or not inside and _named(attributes, frozenset({"header"}))
 
 
 def blocks(page: str) -> list[Block]:
@@ -157,39 +177,44 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def _first_label(b: Block, stops: bool) -> int:
-    if b.furniture:
+def _dense(text: str) -> float:
+    words = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def _first_label(b: Block, stops: bool, article: bool) -> int:
+    """Density, length and links decide; where a page has an article, what stands outside of it is bad."""
+    if b.furniture or article and not b.inside:
         return BAD
     n = len(b.text)
     links = b.linked / n
-    if b.inside:  # the container vouches for all but lists of links
-        return BAD if links > 0.6 and n < LONG else GOOD if n >= SHORT else OPEN
-    if links > LINK_HIGH or "\N{COPYRIGHT SIGN}" in b.text:
+    if links > LINK_HIGH:
+        # Inside of an article prose may be full of links; a list of links is not.
+        return OPEN if b.inside and (links <= 0.6 or n >= LONG) else BAD
+    if not b.inside and "\N{COPYRIGHT SIGN}" in b.text:
         return BAD
     if n < SHORT:
-        return BAD if links else OPEN
-    words = _WORD.findall(b.text.lower())
-    if not stops:
-        return GOOD if n >= LONG else OPEN
-    dense = sum(w in STOP_WORDS for w in words) >= STOP_LOW * max(1, len(words))
-    return (GOOD if n >= LONG else OPEN) if dense else BAD
+        return BAD if links and not b.inside else OPEN
+    density = _dense(b.text) if stops else STOP_LOW
+    if density < STOP_LOW:
+        return OPEN if b.inside else BAD
+    return GOOD if n >= LONG or density >= STOP_HIGH and b.inside else OPEN
 
 
 def labels(found: list[Block]) -> list[int]:
     """Both passes: a label for each block."""
     words = [w for b in found if not b.furniture for w in _WORD.findall(b.text.lower())]
     stops = sum(w in STOP_WORDS for w in words) >= 0.02 * len(words)  # else no language that is known here
-    first = [_first_label(b, stops) for b in found]
     article = any(b.inside and not b.furniture for b in found)
-    if article:
-        first = [BAD if not b.inside else x for b, x in zip(found, first)]
+    first = [_first_label(b, stops, article) for b in found]
     out = list(first)
     before, after = [None] * len(first), [None] * len(first)
     for side, order in ((before, range(len(first))), (after, reversed(range(len(first))))):
         near = None
         for i in order:
             side[i] = near
-            if first[i] != OPEN and not (article and found[i].furniture) and (found[i].inside or not article):
+            # Furniture says nothing about the article that it stands in.
+            if first[i] != OPEN and not (article and (found[i].furniture or not found[i].inside)):
                 near = i
     for i, x in enumerate(first):
         if x != OPEN:

@@ -19,6 +19,27 @@ def test_without_an_article():
     assert html.main_text(page) == " ".join(["A short head", (long * 3).strip(), "Short too.", (long * 2).strip()])
 
 
+def test_class_words_are_whole():
+    text = "It was the first day of the year and the people of the town were in the street to see what it was."
+    for attributes in ('class="overflow-hidden"', 'aria-hidden="false"', 'id="related-work"', 'class="search-results"', 'data-hidden="1"'):
+        assert html.main_text(f"<article><div {attributes}><p>{text}</p></div></article>") == text, attributes
+    for attributes in ("hidden", 'aria-hidden="true"', 'style="display: none"', 'class="site-footer"', 'class="x cookie-notice"', 'class="navMenu"', 'id="comments-list"'):
+        assert html.main_text(f"<article><p>{text}</p><div {attributes}><p>{text} Not this.</p></div></article>") == text, attributes
+
+
+def test_stop_words_decide(spark):
+    """First labels depend on stop words, on real pages and for lists of names."""
+    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    changed = 0
+    for p in pages:
+        found = html.blocks(p or "")
+        changed += sum(html._first_label(b, True, True) != html._first_label(html.Block("x" * len(b.text), b.linked, b.furniture, b.inside), True, True) for b in found)
+    assert changed > len(pages)
+    names = "Berlin Paris Madrid Lisbon Vienna Prague Warsaw Dublin Athens Oslo Riga Tallinn Vilnius Sofia " * 3
+    prose = "It was the first day of the year and the people of the town were in the street to see what it was that had come to them. " * 2
+    assert html.main_text(f"<body><p>{names}</p><p>{prose}</p></body>") == prose.strip()
+
+
 def test_broken_pages():
     for page in ("", "   ", "<", "<p", "<!-- open", "<script>x", "plain words", "<p>a<p>b", "&am", "</div></div>x"):
         html.main_text(page)
