@@ -21,14 +21,14 @@ def page_typing(docs):
 
 
 _IMAGES = """
-SELECT l_orderkey % 50 AS doc_id, l_suppkey % 20 AS page_no, cast(l_partkey % 500 AS double) AS x0, cast(l_quantity * 10 AS double) AS y0,
-  cast(l_partkey % 500 + 20 + l_linenumber * 9 AS double) AS x1, cast(l_quantity * 10 + 15 + l_linenumber * 7 AS double) AS y1 FROM {lineitem} WHERE l_partkey % 40 = 7"""
+SELECT l_orderkey AS doc_id, l_suppkey % 20 AS page_no, cast(l_partkey % 500 AS double) AS x0, cast(l_quantity * 10 AS double) AS y0,
+  cast(l_partkey % 500 + 20 + l_linenumber * 9 AS double) AS x1, cast(l_quantity * 10 + 15 + l_linenumber * 7 AS double) AS y1 FROM {lineitem}"""
 
 
 @query(
     "image_coverage",
     images=_IMAGES,
-    pages_="SELECT d.doc_id, p.page_no, cast(612 AS double) AS width, cast(792 AS double) AS height FROM (SELECT DISTINCT l_orderkey % 50 AS doc_id FROM {lineitem}) AS d CROSS JOIN (SELECT DISTINCT l_suppkey % 20 AS page_no FROM {lineitem}) AS p",
+    pages_="SELECT DISTINCT l_orderkey AS doc_id, l_suppkey % 20 AS page_no, cast(612 AS double) AS width, cast(792 AS double) AS height FROM {lineitem} UNION ALL SELECT DISTINCT l_orderkey, 20, cast(612 AS double), cast(792 AS double) FROM {lineitem}",
     oracle="""
 WITH cells AS (SELECT DISTINCT doc_id, page_no, gx, gy FROM (SELECT doc_id, page_no, unnest(range(a, greatest(b, a + 1))) AS gx, c, d FROM (
     SELECT doc_id, page_no, cast(floor(x0 / 612 * 128) AS bigint) AS a, cast(least(ceil(x1 / 612 * 128), 128) AS bigint) AS b, cast(floor(y0 / 792 * 128) AS bigint) AS c, cast(least(ceil(y1 / 792 * 128), 128) AS bigint) AS d FROM images)),

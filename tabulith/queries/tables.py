@@ -337,7 +337,7 @@ def content_overlap(found, wanted):
 
 @query(
     "numeric_overlap",
-    found="SELECT l_orderkey AS doc_id, l_quantity AS value FROM {lineitem} WHERE l_partkey % 4 <> 0",
+    found="SELECT l_orderkey AS doc_id, CASE WHEN l_partkey % 4 = 0 THEN l_quantity + 1000 ELSE l_quantity END AS value FROM {lineitem}",
     wanted="SELECT l_orderkey AS doc_id, concat('(', cast(cast(l_quantity AS int) AS varchar(9)), '.00)') AS text, l_quantity, l_partkey % 3 AS form FROM {lineitem}",
     oracle="""
 WITH w AS (SELECT DISTINCT doc_id, CASE WHEN form = 0 THEN -l_quantity ELSE l_quantity END AS w FROM wanted), f AS (SELECT DISTINCT doc_id, value FROM found)
@@ -397,5 +397,5 @@ SELECT CASE form WHEN 0 THEN 'exact' WHEN 1 THEN 'hyphen' ELSE 'missing' END AS
 )
 def label_audit(cells):
     """A label's words against a page that holds them, holds them with hyphens, or holds others."""
-    page = cells.select("item_id", F.concat(F.lit("Before. "), F.when(F.col("form") == 0, F.replace("text", F.lit(" "), F.lit("  "))).when(F.col("form") == 1, F.concat(F.substring("text", 1, 5), F.lit("-"), F.substring("text", 6, 100_000))).otherwise("nothing of it")).alias("page_text"))
+    page = cells.select("item_id", F.concat(F.lit("Before. "), F.when(F.col("form") == 0, F.replace("text", F.lit(" "), F.lit("  "))).when(F.col("form") == 1, F.concat(F.substring("text", 1, 5), F.lit("-"), F.expr("substring(text, 6)"))).otherwise("nothing of it")).alias("page_text"))
     return evaluation.label_audit(cells, page, ["item_id"]).groupBy("found").agg(F.count("*").alias("n"))

@@ -20,7 +20,7 @@ def grouped(x: str) -> str:
 
 PRINTED = f"""
 SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice AS x, l_partkey % 8 AS form, l_returnflag, {grouped("l_extendedprice")} AS s
-FROM {{lineitem}} WHERE l_extendedprice < 999999"""
+FROM {{lineitem}}"""
 
 CELLS = f"""
 SELECT l_orderkey, l_linenumber, l_partkey, x, form, l_returnflag,

@@ -36,7 +36,7 @@ def run_log(found: Extraction) -> DataFrame:
 def summary(found: Extraction) -> DataFrame:
     """Tables, rejections, cells and doubtful cells of each document and of all."""
     t = found.tables.groupBy("doc_id").agg(F.count("*").alias("tables"), F.count("rejected_as").alias("rejected"))
-    c = found.cells.groupBy("doc_id").agg(F.count("*").alias("cells"), F.sum((F.size("codes") > 0).cast("int")).alias("with_codes"))
+    c = found.cells.groupBy("doc_id").agg(F.count("confidence").alias("cells"), F.sum((F.size("codes") > 0).cast("int")).alias("with_codes"))
     both = t.join(c, "doc_id", "left").na.fill(0)
     return both.rollup("doc_id").agg(*[F.sum(k).alias(k) for k in ("tables", "rejected", "cells", "with_codes")])
 
@@ -80,19 +80,20 @@ def table_workbook(found: Extraction, doc_id, page_no: int, table_idx: int, conf
     cells = found.cells.where(one).orderBy("row_idx", "col_idx").collect()
     grid: list[list] = [[""] * (1 + max((c.col_idx for c in cells), default=0)) for _ in range(1 + max((c.row_idx for c in cells), default=0))]
     for c in cells:
-        native = c.value is not None and c.confidence >= least
+        native = c.value is not None and c.confidence is not None and c.confidence >= least
         grid[c.row_idx][c.col_idx] = (c.value / 100 if c.value_type == "percent" else c.value) if native else c.raw_text
     t = found.tables.where(one).first()
     context = [["title", t.title], ["caption", t.caption], ["section", t.section_path], ["unit", t.unit_scale_note], ["unit source", t.unit_scale_source]] if t else []
-    where = [["row", "column", "page", "x0", "y0", "x1", "y1", "confidence", "codes"]] + [[c.row_idx, c.col_idx, c.page_no, c.x0, c.y0, c.x1, c.y1, c.confidence, "|".join(c.codes)] for c in cells]
+    where = [["row", "column", "page", "x0", "y0", "x1", "y1", "confidence", "codes"]] + [[c.row_idx, c.col_idx, c.page_no, c.x0, c.y0, c.x1, c.y1, c.confidence, "|".join(c.codes or [])] for c in cells]
     issues = [["severity", "code", "row", "column"]] + [[i.severity, i.code, i.row_idx, i.col_idx] for i in found.issues.where(one).orderBy("code", "row_idx", "col_idx").collect()]
-    issues += [["warning", "LOW_CONFIDENCE", c.row_idx, c.col_idx] for c in cells if c.confidence < least]
+    issues += [["warning", "LOW_CONFIDENCE", c.row_idx, c.col_idx] for c in cells if c.confidence is not None and c.confidence < least]
     return workbook({"Data": grid, "Context": context, "Provenance": where, "Issues": issues})
 
 
 def viewer(found: Extraction, doc_id, limit: int = 200) -> str:
-    """One document's first tables as a page; doubtful cells are marked."""
-    cells = found.cells.where(F.col("doc_id") == doc_id).orderBy(*TABLE, "row_idx", "col_idx").limit(limit * 100).collect()
+    """One document's first ``limit`` tables, whole, as a page; doubtful cells are marked."""
+    first = found.tables.where((F.col("doc_id") == doc_id) & F.col("rejected_as").isNull()).select(*TABLE).orderBy(*TABLE).limit(limit)
+    cells = found.cells.join(first, TABLE, "left_semi").orderBy(*TABLE, "row_idx", "col_idx").collect()
     parts, at = ["<!DOCTYPE html><meta charset=utf-8><style>td{border:1px solid #ccc;padding:2px 6px}.d{background:#fdd}</style>"], None
     for c in cells:
         here = (c.page_no, c.table_idx)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabulith.config import CONFIG, Config
+from tabulith.operators import kernels
 from tabulith.plans.extract import extract
 from tabulith.sinks import report, store
 from tabulith.sources.labels import read_csv_labels
@@ -74,3 +75,19 @@ def test_pages_without_text(spark):
     read = lambda need: need.withColumn("text", F.lit("read"))
     got, notes = read_scanned(tokens, pages, read)
     assert got.count() == 2 and notes.first().note == "OCR_TOKENS"
+
+
+def test_rejected_tables_keep_their_cells(spark):
+    """A list of marks is no table, yet what stood in it is kept without confidence."""
+    rows = [("1.", "an item of a list that goes on"), ("2.", "another item of that list here"), ("3.", "one more item of the list at last")] * 3
+    cells = [("d", 1, r, c, t) for r, row in enumerate(rows) for c, t in enumerate(row)]
+    df = spark.createDataFrame(cells, "doc_id string, page_no int, row_idx int, col_idx int, text string")
+    got = extract(typeset(df, {0: 72.0, 1: 120.0}))
+    tables = {tuple(r)[:3]: r.rejected_as for r in got.tables.select("doc_id", "page_no", "table_idx", "rejected_as").collect()}
+    kept = got.cells.groupBy("doc_id", "page_no", "table_idx").agg(F.count("confidence").alias("n"), F.count("*").alias("all")).collect()
+    assert {tuple(r)[:3] for r in kept} == set(tables) and all(r["all"] > 0 and (r.n == 0) == (tables[tuple(r)[:3]] is not None) for r in kept)
+
+
+def test_tokens_without_keys_make_one_page(spark):
+    tokens = spark.createDataFrame([(None, None, n, f"w{n}", 10.0 * n, 0.0, 10.0 * n + 8, 9.0, 9.0) for n in range(5)], "doc_id string, page_no int, tok_order int, text string, x0 double, y0 double, x1 double, y1 double, size double")
+    assert [r.token_count for r in kernels.page_statistics(tokens).collect()] == [5]
