@@ -84,7 +84,7 @@ def table_workbook(found: Extraction, doc_id, page_no: int, table_idx: int, conf
         grid[c.row_idx][c.col_idx] = (c.value / 100 if c.value_type == "percent" else c.value) if native else c.raw_text
     t = found.tables.where(one).first()
     context = [["title", t.title], ["caption", t.caption], ["section", t.section_path], ["unit", t.unit_scale_note], ["unit source", t.unit_scale_source]] if t else []
-    where = [["row", "column", "page", "x0", "y0", "x1", "y1", "confidence", "codes"]] + [[c.row_idx, c.col_idx, c.page_no, c.x0, c.y0, c.x1, c.y1, c.confidence, "|".join(c.codes or [])] for c in cells]
+    where = [["row", "column", "page", "x0", "y0", "x1", "y1", "confidence", "codes"]] + [[c.row_idx, c.col_idx, c.source_page, c.x0, c.y0, c.x1, c.y1, c.confidence, "|".join(c.codes or [])] for c in cells]
     issues = [["severity", "code", "row", "column"]] + [[i.severity, i.code, i.row_idx, i.col_idx] for i in found.issues.where(one).orderBy("code", "row_idx", "col_idx").collect()]
     issues += [["warning", "LOW_CONFIDENCE", c.row_idx, c.col_idx] for c in cells if c.confidence is not None and c.confidence < least]
     return workbook({"Data": grid, "Context": context, "Provenance": where, "Issues": issues})

@@ -91,3 +91,34 @@ def test_rejected_tables_keep_their_cells(spark):
 def test_tokens_without_keys_make_one_page(spark):
     tokens = spark.createDataFrame([(None, None, n, f"w{n}", 10.0 * n, 0.0, 10.0 * n + 8, 9.0, 9.0) for n in range(5)], "doc_id string, page_no int, tok_order int, text string, x0 double, y0 double, x1 double, y1 double, size double")
     assert [r.token_count for r in kernels.page_statistics(tokens).collect()] == [5]
+
+
+def test_tables_over_page_ends_are_one(spark):
+    """Repeated headers go once, rows are numbered on, and the total at the end adds up over all pages."""
+    head, total = ["Item", "Qty", "Price"], ["Total", "210", "2,102.00"]
+    body = [["Part A", "40", "400.50"], ["Part B", "10", "100.25"], ["Part C", "30", "300.00"], ["Part D", "20", "200.75"], ["Part E", "60", "600.10"], ["Part F", "50", "500.40"]]
+    more = [["Part G", "90", "900.00"], ["Part H", "70", "700.00"], ["Part I", "80", "800.00"]]
+    two = {1: [head, *body[:3]], 2: [head, *body[3:], total]}
+    docs = {"d": two, "e": {1: two[1], 2: [*two[2][:-1], ["Total", "210", "2,103.00"]]}, "f": {1: [head, *body[:3]], 2: body[3:], 3: [*more, ["Total", "450", "4,502.00"]]}}
+    cells = [(d, p, r, c, t) for d, pages in docs.items() for p, rows in pages.items() for r, row in enumerate(rows) for c, t in enumerate(row)]
+    df = spark.createDataFrame(cells, "doc_id string, page_no int, row_idx int, col_idx int, text string")
+    got = extract(typeset(df, {0: 72.0, 1: 320.0, 2: 440.0}, right=(1, 2)).withColumn("page_width", F.lit(612.0)))
+    tables = {(r.doc_id, r.page_no): r for r in got.tables.collect()}
+    size = {"d": 8, "e": 8, "f": 11}
+    for d, pages in docs.items():
+        assert [tables[d, p].rejected_as for p in pages] == [None] + ["STITCHED_INTO_PRIOR"] * (len(pages) - 1)
+        assert tables[d, 1].end_page == len(pages) and tables[d, 1].n_rows == size[d] and "STITCHED" in tables[d, 1].flags and tables[d, 2].is_continuation
+    every = got.cells.collect()
+    for d, pages in docs.items():
+        mine = [r for r in every if r.doc_id == d and r.page_no == 1]
+        text = {(r.row_idx, r.col_idx): r.raw_text for r in mine}
+        assert [[text[r, c] for c in range(3)] for r in range(7)] == [head, *body] and text[size[d] - 1, 0] == "Total" and len(mine) == 3 * size[d]
+        assert {r.source_page for r in mine} == set(pages)
+        assert {r.crossfoot for r in mine if r.row_idx > 0 and r.col_idx == 1} == {1.0}
+        assert {r.crossfoot for r in mine if r.row_idx > 0 and r.col_idx == 2} == {-1.0 if d == "e" else 1.0}
+    # A repeated header stays with the table that was taken in.
+    assert {(r.doc_id, r.page_no, r.row_idx, r.raw_text, r.confidence) for r in every if r.page_no > 1} == {(d, 2, 0, t, None) for d in "de" for t in head}
+    rows = {(r.doc_id, r.page_no, r.row_idx): r for r in got.rows.collect()}
+    assert {k for k, r in rows.items() if "STITCH_BOUNDARY" in r.flags} == {("d", 1, 4), ("e", 1, 4), ("f", 1, 4), ("f", 1, 7)}
+    assert [rows["f", 1, n].kind for n in (0, 1, 5, 10)] == ["section", "data", "data", "total"]
+    assert [(r.doc_id, r.row_idx, r.col_idx) for r in got.issues.where("code = 'CROSSFOOT_FAIL'").collect()] == [("e", 7, 2)]
