@@ -42,6 +42,38 @@ def stitch_chains(tables):
     return stitch.chains(stitch.stitch_pairs(t, stitch.content_top(tables))).select("doc_id", "page_no", "root_page")
 
 
+#: A header and an order's lines as rows of its table; each third order has another header.
+_ROWS = """
+SELECT t.doc_id, t.page_no, 0 AS table_idx, 0 AS row_idx, 0 AS col_idx, true AS is_header, CASE WHEN t.o_orderkey % 3 = 0 THEN 'Part' ELSE 'Item' END AS raw_text
+FROM (SELECT o_custkey AS doc_id, cast(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS int) AS page_no, o_orderkey FROM {orders}) AS t
+UNION ALL SELECT t.doc_id, t.page_no, 0, cast(l.line_idx AS int), 0, false, cast(l.l_partkey AS varchar(20))
+FROM (SELECT o_custkey AS doc_id, cast(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS int) AS page_no, o_orderkey FROM {orders}) AS t
+JOIN (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS line_idx FROM {lineitem}) AS l ON l.l_orderkey = t.o_orderkey"""
+
+
+@query(
+    "stitch_absorb",
+    tables=_TABLES,
+    cells=_ROWS,
+    oracle="""
+WITH top AS (SELECT doc_id, median(y0) AS t FROM tables GROUP BY 1),
+ p AS (SELECT a.doc_id, a.page_no + 1 AS page_no FROM tables a JOIN tables b ON a.doc_id = b.doc_id AND b.page_no = a.page_no + 1 JOIN top ON top.doc_id = a.doc_id WHERE abs(a.edge / 612 - b.edge / 612) <= 0.015 AND b.y0 <= t + 21),
+ runs AS (SELECT t.doc_id, t.page_no, max(CASE WHEN p.page_no IS NULL THEN t.page_no END) OVER (PARTITION BY t.doc_id ORDER BY t.page_no) AS root FROM tables t LEFT JOIN p ON p.doc_id = t.doc_id AND p.page_no = t.page_no),
+ head AS (SELECT doc_id, page_no, raw_text FROM cells WHERE row_idx = 0),
+ parts AS (SELECT r.doc_id, r.page_no, r.root, CASE WHEN r.page_no > r.root AND h.raw_text = g.raw_text THEN 1 ELSE 0 END AS skip, (SELECT count(*) FROM cells c WHERE c.doc_id = r.doc_id AND c.page_no = r.page_no) AS n
+   FROM runs r JOIN head h ON h.doc_id = r.doc_id AND h.page_no = r.page_no JOIN head g ON g.doc_id = r.doc_id AND g.page_no = r.root),
+ moves AS (SELECT *, sum(n - skip) OVER (PARTITION BY doc_id, root ORDER BY page_no) - n AS shift FROM parts)
+SELECT c.doc_id, cast(CASE WHEN c.row_idx >= skip THEN root ELSE c.page_no END AS int) AS page_no, cast(CASE WHEN c.row_idx >= skip THEN c.row_idx + shift ELSE c.row_idx END AS int) AS row_idx,
+  c.page_no AS source_page, c.page_no > root AND c.row_idx = skip AS boundary, c.raw_text FROM cells c JOIN moves m ON m.doc_id = c.doc_id AND m.page_no = c.page_no""",
+)
+def stitch_absorb(tables, cells):
+    """Rows of tables that go on over page ends, under the first table's page and numbered on."""
+    chained = stitch.chains(stitch.stitch_pairs(tables.withColumn("edges", F.array("edge", F.lit(500.0))), stitch.content_top(tables)))
+    shapes = cells.groupBy("doc_id", "page_no", "table_idx").agg((F.max("row_idx") + 1).alias("n_rows"))
+    moved = stitch.absorb(cells, stitch.absorption(chained, cells, shapes))
+    return moved.select("doc_id", "page_no", "row_idx", "source_page", "boundary", "raw_text")
+
+
 @query("content_top", tables=_TABLES, oracle="SELECT doc_id, median(y0) AS content_top FROM tables GROUP BY 1")
 def content_top(tables):
     return stitch.content_top(tables)
