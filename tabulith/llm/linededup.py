@@ -20,10 +20,11 @@ equal. A like line counts as earlier whether it stays itself or not.
      leave as they were, at all places. Two such lines share one of k + 1 equal segments.
 
 3. Keys that one line alone emits are dropped. Lines of the others meet within classes of like
-   length, the earliest of the class first; those that are not like it meet the others. Pairs
-   whose lengths differ too much go at once, and those whose first letters have too large an edit
-   distance, which is never above that of the words.
-4. Edits are verified on the words themselves, and the text is rebuilt without removed lines.
+   length, the earliest of the class and neighbours in it first; those that are like none of these
+   meet the others. Pairs whose lengths differ too much go at once, and those of which more bits
+   differ than edits could turn over: every word turns over one of a line's 128 bits.
+4. Edits are verified on the words themselves, first on their first letters, whose distance is
+   never above that of the words, and the text is rebuilt without removed lines.
 
 Defined results: a null text stays null; an empty one stays empty; null ids come last and count as
 one document; rows of one id that are repeated are treated alike; ties in place can't occur but for
@@ -35,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import drop, materialize, only, small_or_hashed
+from tabulith.llm.common import drop, materialize, only, shuffle_parts, small_or_hashed
 
 MIN_WORDS = 5
 WORDS_PER_EDIT = 10
@@ -91,47 +92,47 @@ def _stretches(e: int) -> str:
     return f"array_distinct(flatten(transform(array(transform(split(line, ' '), x -> xxhash64(x))), h -> flatten(transform({sizes}, w -> {places})))))"
 
 
-def _initials_of(line: str) -> Column:
-    """The first letters of a line's words."""
-    return F.expr(f"array_join(transform(split({line}, ' '), x -> left(x, 1)), '')")
-
-
 #: Lines of a key from which they meet by classes of length: fewer comparisons, more rows.
 CROWD = 100
+#: Neighbours of a line in the order of a key's classes that it meets before all others.
+NEIGHBOURS = (1, -1)
 
 
-#: First letters that travel with a line's keys.
-HEAD = 48
+def _parities() -> Column:
+    """Number of a line's words, and 128 bits of which every word turns one over."""
+    bits = [f"aggregate(h, 0L, (a, x) -> a ^ if((x & 64) = {half}, shiftleft(1L, x & 63), 0L)) as bits{half}" for half in (0, 64)]
+    return F.expr(f"transform(array(transform(split(line, ' '), x -> hash(x))), h -> struct(size(h) as n, {', '.join(bits)}))[0]")
 
 
 def _may(first: str, second: str, e: int) -> str:
-    """Whether a line stands earlier than another and lengths and first letters allow that they are alike.
+    """Whether a line stands earlier than another and lengths and words allow that they are alike.
 
-    Heads of lines within k edits are within 2 k: what ends one may begin behind the other's end."""
+    An edit takes one word away and adds one, so it turns over two bits at most."""
     bound = f"cast(least({first}n, {second}n) div {e} as int)"
-    return f"{second}place > {first}place and abs({first}n - {second}n) <= {bound} and levenshtein({first}head, {second}head, 2 * {bound}) >= 0"
+    turned = " + ".join(f"bit_count({first}{b} ^ {second}{b})" for b in ("bits0", "bits64"))
+    return f"{second}place > {first}place and abs({first}n - {second}n) <= {bound} and {turned} <= 2 * {bound}"
 
 
 def near_lines(docs: DataFrame, min_words: int = MIN_WORDS, words_per_edit: int = WORDS_PER_EDIT) -> DataFrame:
     """Rows (id, lines): the numbers, from 0, of the lines to remove; ``docs`` has id and text."""
     e = words_per_edit
+    kept = ("n", "bits0", "bits64")
     raw = docs.select("id", F.posexplode(F.split("text", "\n")).alias("at", "raw")).where(F.btrim("raw", F.lit(BLANKS)) != "")
     lines = raw.select(_place(F.col("id"), F.col("at")).alias("place"), normal_line(F.col("raw")).alias("line"))
     lines = materialize(lines.select("place", "line", F.xxhash64("line").alias("whole"), F.xxhash64(F.lit(1), "line").alias("other")), "lines")
 
     # Distinct lines with their keys: all that follows knows each line once.
     same = ["whole", "other"]
-    keyed = lines.select(*same, "place", "line", _initials_of("line").alias("initials")).withColumn("n", F.length("initials"))
+    keyed = lines.select(*same, "place", "line", _parities().alias("w")).select(*same, "place", "line", "w.*")
     # Lines with k edits at most of 2 or more; a line of 2 e words may meet one with a single edit.
     single, several = F.col("n").between(max(e, min_words), 2 * e), F.col("n") >= max(2 * e, min_words)
     keyed = keyed.withColumn("chunks", F.when(several, F.expr(_chunks()))).withColumn("sets", F.array_distinct("chunks"))
     few = several & F.expr(f"size(sets) <= 2 * (n div {e})")
     keyed = keyed.select(
-        *same, "place", "n", F.when(single | several, F.left("initials", F.lit(HEAD))).alias("head"), F.when(single, F.expr(_variants(e))).alias("v"), F.expr(f"slice(sets, 1, 2 * (n div {e}) + 1)").alias("c"),
+        *same, "place", *kept, F.when(single, F.expr(_variants(e))).alias("v"), F.expr(f"slice(sets, 1, 2 * (n div {e}) + 1)").alias("c"),
         F.when(few, F.when(F.expr(f"size(chunks) > 2 * (n div {e})"), F.expr(_numbered(e))).otherwise(F.expr(_stretches(e)))).alias("s"),
     )
     keys = F.expr("case when v is null and s is null then c when c is null then v else concat(coalesce(v, cast(array() as array<long>)), c, coalesce(s, cast(array() as array<long>))) end")
-    kept = ("n", "head")
     distinct = keyed.select(*same, "place", *kept, keys.alias("keys")).groupBy(*same).agg(
         F.min("place").alias("place"), (F.count("*") > 1).alias("again"), *[F.any_value(c).alias(c) for c in kept], F.any_value("keys").alias("keys")
     )
@@ -143,14 +144,17 @@ def near_lines(docs: DataFrame, min_words: int = MIN_WORDS, words_per_edit: int
     met = materialize(met.where("a != b").select("k", "whole", (F.col("c") > CROWD).alias("crowd")).distinct(), "shared-keys")
     # Lengths within the bound are in the same class or in neighbouring ones.
     size = F.floor(F.log("n") / F.log(F.lit(1 + 1.1 / e))).cast("int").alias("size")
-    near_size = Window.partitionBy("k").orderBy("size").rangeBetween(-1, 1)
+    by_size = Window.partitionBy("k").orderBy("size")
+    near_size = by_size.rangeBetween(-1, 1)
     alive = met.join(distinct.select("whole", "place", *kept, size), "whole").drop("whole")
-    alive = alive.select("*", F.count("*").over(near_size).alias("c"), F.min(F.struct("place", *kept)).over(near_size).alias("p")).where("c > 1")
-    alive = materialize(alive.drop("c").withColumn("p", F.when(F.expr(_may("p.", "", e)), F.col("p.place"))), "alive-keys")
+    it = F.struct("place", *kept)
+    some = F.array(F.min(it).over(near_size), *[F.lag(it, d).over(by_size) for d in NEIGHBOURS])
+    alive = alive.select("*", F.count("*").over(near_size).alias("c"), some.alias("p")).where("c > 1")
+    alive = materialize(alive.drop("c").withColumn("p", F.expr(f"transform(filter(p, x -> x is not null and {_may('x.', '', e)}), x -> x.place)")), "alive-keys")
     drop(met)
 
-    # Each line with the earliest of its keys, and where that one isn't like it, with the others.
-    pairs = materialize(alive.where("p is not null").select("place", "p").distinct(), "pairs-with-first")
+    # Each line with the earliest of its keys and with neighbours, and where none is like it, with the others.
+    pairs = materialize(alive.select("place", F.explode("p").alias("p")).distinct(), "pairs-with-some")
     near = _verified(pairs, lines, e)
     # In the keys of many lines classes of length meet, in the others all do.
     later = alive.select("k", F.when(F.col("crowd"), F.col("size")).otherwise(-9).alias("size"), "place", *kept)
@@ -173,24 +177,19 @@ def near_lines(docs: DataFrame, min_words: int = MIN_WORDS, words_per_edit: int
     return out
 
 
-def _sides(pairs: DataFrame, lines: DataFrame, column: Column) -> DataFrame:
-    """The pairs with a column of both lines."""
+def _verified(pairs: DataFrame, lines: DataFrame, e: int) -> DataFrame:
+    """Places of the pairs whose lines are within the bound."""
     wanted = materialize(pairs.select(F.explode(F.array("place", "p")).alias("place")).distinct(), "wanted-lines")
-    found = lines.select("place", "line").join(small_or_hashed(wanted), "place", "left_semi").select("place", F.size(F.split("line", " ")).alias("n"), column.alias("x")).dropDuplicates(["place"])
+    words = F.split("line", " ")
+    initials = F.array_join(F.transform(words, lambda x: F.left(x, F.lit(1))), "").alias("f")
+    found = lines.select("place", "line").join(small_or_hashed(wanted), "place", "left_semi").select("place", F.size(words).alias("n"), initials, F.col("line").alias("x")).dropDuplicates(["place"])
     found = materialize(found, "wanted-columns")
-    left = found.select("place", F.col("x").alias("x1"), F.col("n").alias("n1"))
-    right = found.select(F.col("place").alias("p"), F.col("x").alias("x2"), F.col("n").alias("n2"))
     drop(wanted)
-    return pairs.join(left, "place").join(right, "p")
-
-
-def _verified(pairs: DataFrame, lines: DataFrame, e: int) -> DataFrame:
-    """Places of the pairs whose lines are within the bound."""
-    bound = f"cast(least(n1, n2) div {e} as int)"
-    may = materialize(_sides(pairs, lines, _initials_of("line")).where(f"levenshtein(x1, x2, {bound}) >= 0").select("place", "p"), "like-initials")
-    out = materialize(_sides(may, lines, F.col("line")).where(within_edits(e)).select("place").distinct(), "near-lines")
-    drop(may)
-    return out
+    side = lambda k: found.select("place", *[F.col(c).alias(f"{c}{k}") for c in ("n", "f", "x")])
+    dealt = pairs.repartition(shuffle_parts(lines.sparkSession), "place", "p")
+    both = dealt.join(side(1), "place").join(side(2).withColumnRenamed("place", "p"), "p")
+    may = F.expr(f"levenshtein(f1, f2, cast(least(n1, n2) div {e} as int)) >= 0")
+    return materialize(both.where(F.when(may, within_edits(e)).otherwise(False)).select("place").distinct(), "near-lines")
 
 
 def within_edits(words_per_edit: int) -> Column:

@@ -61,3 +61,20 @@ def test_documents_and_odd_rows(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     for rows in (docs, ODD):
         assert got(spark, rows) == plain(rows)
+
+
+def test_lines_with_a_common_passage_are_few_pairs(spark, monkeypatch):
+    draw, made = random.Random(3), {}
+    passage = "passagethatallhaveq incommonandthatislongq thanotherse"
+    rows = [(i, f"{' '.join(f'w{draw.randrange(10**6)}n' for _ in range(12))} {passage} {' '.join(f'w{draw.randrange(10**6)}n' for _ in range(15 + i % 3))}") for i in range(300)]
+    rows += [(300 + i, t.replace(" incommonandthatislongq", " x")) for i, t in rows[::50]]
+    write = linededup.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(linededup, "materialize", counted)
+    assert got(spark, rows) == plain(rows)
+    assert made["more-pairs"] < len(rows)
