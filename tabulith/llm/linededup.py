@@ -22,7 +22,7 @@ equal. A like line counts as earlier whether it stays itself or not.
 3. Keys that one line alone emits are dropped. Lines of the others meet within classes of like
    length, the earliest of the class and neighbours in it first; those that are like none of these
    meet the others. Pairs whose lengths differ too much go at once, and those of which more bits
-   differ than edits could turn over: every word turns over one of a line's 128 bits.
+   differ than edits could turn over: every word turns over one of a line's 256 bits.
 4. Edits are verified on the words themselves, first on their first letters, whose distance is
    never above that of the words, and the text is rebuilt without removed lines.
 
@@ -98,9 +98,13 @@ CROWD = 100
 NEIGHBOURS = (1, -1)
 
 
+#: Columns of 64 bits each, and the part of a word's hash that chooses one.
+BITS = {f"bits{part}": part for part in (0, 64, 128, 192)}
+
+
 def _parities() -> Column:
-    """Number of a line's words, and 128 bits of which every word turns one over."""
-    bits = [f"aggregate(h, 0L, (a, x) -> a ^ if((x & 64) = {half}, shiftleft(1L, x & 63), 0L)) as bits{half}" for half in (0, 64)]
+    """Number of a line's words, and 256 bits of which every word turns one over."""
+    bits = [f"aggregate(h, 0L, (a, x) -> a ^ if((x & 192) = {part}, shiftleft(1L, x & 63), 0L)) as {name}" for name, part in BITS.items()]
     return F.expr(f"transform(array(transform(split(line, ' '), x -> hash(x))), h -> struct(size(h) as n, {', '.join(bits)}))[0]")
 
 
@@ -109,14 +113,14 @@ def _may(first: str, second: str, e: int) -> str:
 
     An edit takes one word away and adds one, so it turns over two bits at most."""
     bound = f"cast(least({first}n, {second}n) div {e} as int)"
-    turned = " + ".join(f"bit_count({first}{b} ^ {second}{b})" for b in ("bits0", "bits64"))
+    turned = " + ".join(f"bit_count({first}{b} ^ {second}{b})" for b in BITS)
     return f"{second}place > {first}place and abs({first}n - {second}n) <= {bound} and {turned} <= 2 * {bound}"
 
 
 def near_lines(docs: DataFrame, min_words: int = MIN_WORDS, words_per_edit: int = WORDS_PER_EDIT) -> DataFrame:
     """Rows (id, lines): the numbers, from 0, of the lines to remove; ``docs`` has id and text."""
     e = words_per_edit
-    kept = ("n", "bits0", "bits64")
+    kept = ("n", *BITS)
     raw = docs.select("id", F.posexplode(F.split("text", "\n")).alias("at", "raw")).where(F.btrim("raw", F.lit(BLANKS)) != "")
     lines = raw.select(_place(F.col("id"), F.col("at")).alias("place"), normal_line(F.col("raw")).alias("line"))
     lines = materialize(lines.select("place", "line", F.xxhash64("line").alias("whole"), F.xxhash64(F.lit(1), "line").alias("other")), "lines")
