@@ -10,21 +10,24 @@ equal. A like line counts as earlier whether it stays itself or not.
 2. Every line emits hashed keys of what is left of it when words are deleted, so that two lines
    within the bound always share a key:
 
-   - a line that may have one edit emits itself and all its variants with one word deleted;
+   - a line that may have one edit emits all variants, with one word deleted, of the five words that
+     come first in a fixed order of all words (longest first): two such lines share four of these;
    - a longer one is cut into chunks behind words that end in certain characters. An edit touches
      two chunks at most, so of lines within k edits all but 2 k chunks are common, and the 2 k + 1
      chunks that come first in a fixed order of all chunks (longest first) share one. Each is the
      variant that has all other chunks deleted;
-   - a line with too few distinct chunks for that numbers its equal chunks and emits those that
-     come first as well; one with too few chunks altogether emits its stretches that k edits could
-     leave as they were, at all places. Two such lines share one of k + 1 equal segments.
+   - a line with too few distinct chunks for that numbers its equal chunks, which come behind all
+     distinct ones; one with too few chunks altogether emits its stretches that k edits could leave
+     as they were, at all places. Two such lines share one of k + 1 equal segments.
 
 3. Keys that one line alone emits are dropped. Lines of the others meet within classes of like
    length, the earliest of the class and neighbours in it first; those that are like none of these
    meet the others. Pairs whose lengths differ too much go at once, and those of which more bits
-   differ than edits could turn over: every word turns over one of a line's 256 bits.
-4. Edits are verified on the words themselves, first on their first letters, whose distance is
-   never above that of the words, and the text is rebuilt without removed lines.
+   differ than edits could turn over: every word turns over one of a line's 256 bits, and of further
+   ones in long lines. Two lines that share many keys mostly meet in one of them alone.
+4. Edits are verified on characters that stand for words, whose distance is never above that of the
+   words and is that distance where a pair has as many of them as words; else on the words
+   themselves. The text is rebuilt without removed lines.
 
 Defined results: a null text stays null; an empty one stays empty; null ids come last and count as
 one document; rows of one id that are repeated are treated alike; ties in place can't occur but for
@@ -68,21 +71,30 @@ def _id_and_line(place: str) -> list[Column]:
     return [F.expr(f"if({place} >= {_NO_ID}BD * {_LINES}, null, ({place} - pmod({place}, {_LINES})) div {_LINES})").alias("id"), line.alias("line")]
 
 
-def _variants(e: int) -> str:
-    """Keys of a line with one edit at most: itself and all variants with a word deleted."""
-    words = "array(transform(split(line, ' '), x -> xxhash64(x)))"
-    return f"flatten(transform({words}, h -> transform(sequence(0, size(h)), i -> if(i = size(h), xxhash64(h), xxhash64(concat(slice(h, 1, i), slice(h, i + 2, size(h))))))))"
+#: Words of a line with one edit that are left in each of its keys.
+HEAD = 4
+#: A long that puts longer texts first, then their hashes.
+_NUMBER = "shiftleft(cast(4095 - least(octet_length(x), 4095) as long), 51) | (xxhash64(x) & 2251799813685247)"
+
+
+def _variants() -> str:
+    """Keys of a line with one edit at most: the words that come first, with one deleted; a shorter line itself, too."""
+    head = f"array(slice(sort_array(transform(split(line, ' '), x -> {_NUMBER})), 1, {HEAD + 1}))"
+    less = f"sequence(0, if(size(h) > {HEAD}, {HEAD}, size(h)))"
+    return f"array_distinct(transform({head}, h -> transform({less}, i -> xxhash64(concat(slice(h, 1, i), slice(h, i + 2, size(h))))))[0])"
 
 
 def _chunks() -> str:
     """Numbers of a line's chunks in order, the longest ones first."""
-    number = "shiftleft(cast(4095 - least(octet_length(x), 4095) as long), 51) | (xxhash64(x) & 2251799813685247)"
-    return f"sort_array(transform(split(line, ' (?<={ANCHORS} )'), x -> {number}))"
+    return f"sort_array(transform(split(line, ' (?<={ANCHORS} )'), x -> {_NUMBER}))"
 
 
-def _numbered(e: int) -> str:
-    """The chunks that come first when equal ones are numbered."""
-    return f"slice(sort_array(transform(chunks, (x, i) -> xxhash64(x, i - array_position(chunks, x)))), 1, 2 * (n div {e}) + 1)"
+def _repeated(e: int) -> str:
+    """Chunks that stand there again, numbered, as many as the distinct ones fall short."""
+    # Where each chunk begins among the sorted ones, and behind the last one.
+    begins = "array(concat(transform(sets, x -> array_position(chunks, x)), array(cast(size(chunks) + 1 as long))))"
+    again = "flatten(transform(sets, (x, i) -> if(b[i + 1] - b[i] > 1, transform(sequence(1L, b[i + 1] - b[i] - 1), j -> xxhash64(x, j)), cast(array() as array<long>))))"
+    return f"slice(sort_array(transform({begins}, b -> {again})[0]), 1, cast(2 * (n div {e}) + 1 - size(sets) as int))"
 
 
 def _stretches(e: int) -> str:
@@ -100,100 +112,143 @@ NEIGHBOURS = (1, -1)
 
 #: Columns of 64 bits each, and the part of a word's hash that chooses one.
 BITS = {f"bits{part}": part for part in (0, 64, 128, 192)}
+#: Words from which a line has further bits, in so many longs: half of the first ones differ in any two such lines.
+LONG, FURTHER = 360, 8
+#: First keys of a line and of its repeated chunks: two lines that share some of them meet in one of these alone.
+FIRST = ("first0", "first1", "again0")
 
 
 def _parities() -> Column:
-    """Number of a line's words, and 256 bits of which every word turns one over."""
-    bits = [f"aggregate(h, 0L, (a, x) -> a ^ if((x & 192) = {part}, shiftleft(1L, x & 63), 0L)) as {name}" for name, part in BITS.items()]
-    return F.expr(f"transform(array(transform(split(line, ' '), x -> hash(x))), h -> struct(size(h) as n, {', '.join(bits)}))[0]")
+    """256 bits of which every word turns one over, and further ones of long lines. Equal words are
+    numbered up to a few, else two of them would turn the same bit over and back."""
+    numbered = "transform(w, (x, i) -> if(get(w, i - 1) = x, hash(x, if(get(w, i - 2) = x, if(get(w, i - 3) = x, if(get(w, i - 4) = x, 4, 3), 2), 1)), x))"
+    bits = [f"aggregate(h, 0L, (a, x) -> a ^ if((x & 192) = {part}, shiftleft(1L, x), 0L)) as {name}" for name, part in BITS.items()]
+    # The & of other bits of the hash chooses the long, and still others the bit.
+    further = ", ".join(f"aggregate(h, 0L, (a, x) -> a ^ if((x & 1792) = {256 * k}, shiftleft(1L, shiftright(x, 11)), 0L))" for k in range(FURTHER))
+    line = "array(sort_array(transform(split(line, ' '), x -> hash(x))))"
+    return F.expr(f"transform(transform({line}, w -> {numbered}), h -> struct({', '.join(bits)}, if(size(h) >= {LONG}, array({further}), null) as further))[0]")
 
 
-def _may(first: str, second: str, e: int) -> str:
+def _may(first: str, second: str, e: int, further: bool = True) -> str:
     """Whether a line stands earlier than another and lengths and words allow that they are alike.
 
     An edit takes one word away and adds one, so it turns over two bits at most."""
     bound = f"cast(least({first}n, {second}n) div {e} as int)"
     turned = " + ".join(f"bit_count({first}{b} ^ {second}{b})" for b in BITS)
-    return f"{second}place > {first}place and abs({first}n - {second}n) <= {bound} and {turned} <= 2 * {bound}"
+    more = " + ".join(f"bit_count({first}further[{k}] ^ {second}further[{k}])" for k in range(FURTHER))
+    long = f"({first}further is null or {second}further is null or {more} <= 2 * {bound})"
+    return f"{second}place > {first}place and abs({first}n - {second}n) <= {bound} and {turned} <= 2 * {bound}" + (f" and {long}" if further else "")
 
 
-def near_lines(docs: DataFrame, min_words: int = MIN_WORDS, words_per_edit: int = WORDS_PER_EDIT) -> DataFrame:
-    """Rows (id, lines): the numbers, from 0, of the lines to remove; ``docs`` has id and text."""
-    e = words_per_edit
-    kept = ("n", *BITS)
+def _meet(first: str, second: str) -> str:
+    """Whether two lines that share key k meet there: if they share some of their first keys, in one of these alone."""
+    others = ", ".join(f"{second}{c}" for c in FIRST)
+    return f"coalesce(case {' '.join(f'when {first}{c} in ({others}) then {first}{c}' for c in FIRST)} end, k) = k"
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """Rows (place, line) of all lines that are not blank."""
     raw = docs.select("id", F.posexplode(F.split("text", "\n")).alias("at", "raw")).where(F.btrim("raw", F.lit(BLANKS)) != "")
-    lines = raw.select(_place(F.col("id"), F.col("at")).alias("place"), normal_line(F.col("raw")).alias("line"))
-    lines = materialize(lines.select("place", "line", F.xxhash64("line").alias("whole"), F.xxhash64(F.lit(1), "line").alias("other")), "lines")
+    return raw.select(_place(F.col("id"), F.col("at")).alias("place"), normal_line(F.col("raw")).alias("line"))
+
+
+def near_lines(docs: DataFrame, min_words: int = MIN_WORDS, words_per_edit: int = WORDS_PER_EDIT) -> DataFrame:
+    """Rows (id, lines): the numbers, from 0, of the lines to remove; ``docs`` has id and text.
 
-    # Distinct lines with their keys: all that follows knows each line once.
+    Lines are read from ``docs`` again where their words are needed: texts are not written."""
+    e = words_per_edit
+    kept = ("n", *BITS, "further")
     same = ["whole", "other"]
-    keyed = lines.select(*same, "place", "line", _parities().alias("w")).select(*same, "place", "line", "w.*")
+    lines = materialize(_lines(docs).select("place", F.xxhash64("line").alias("whole"), F.xxhash64(F.lit(1), "line").alias("other")), "lines")
+    # Distinct lines: all that follows knows each line once.
+    distinct = materialize(lines.groupBy(*same).agg(F.min("place").alias("place"), (F.count("*") > 1).alias("again")), "distinct-lines")
+
+    # Lines that may have edits, with their keys.
+    worded = _lines(docs).withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= max(e, min_words))
     # Lines with k edits at most of 2 or more; a line of 2 e words may meet one with a single edit.
-    single, several = F.col("n").between(max(e, min_words), 2 * e), F.col("n") >= max(2 * e, min_words)
-    keyed = keyed.withColumn("chunks", F.when(several, F.expr(_chunks()))).withColumn("sets", F.array_distinct("chunks"))
+    single, several = F.col("n") <= 2 * e, F.col("n") >= 2 * e
+    keyed = worded.select("place", "line", "n", _parities().alias("w"), F.when(several, F.expr(_chunks())).alias("chunks"))
+    keyed = keyed.select("place", "line", "n", "w.*", "chunks", F.array_distinct("chunks").alias("sets"))
     few = several & F.expr(f"size(sets) <= 2 * (n div {e})")
     keyed = keyed.select(
-        *same, "place", *kept, F.when(single, F.expr(_variants(e))).alias("v"), F.expr(f"slice(sets, 1, 2 * (n div {e}) + 1)").alias("c"),
-        F.when(few, F.when(F.expr(f"size(chunks) > 2 * (n div {e})"), F.expr(_numbered(e))).otherwise(F.expr(_stretches(e)))).alias("s"),
-    )
-    keys = F.expr("case when v is null and s is null then c when c is null then v else concat(coalesce(v, cast(array() as array<long>)), c, coalesce(s, cast(array() as array<long>))) end")
-    distinct = keyed.select(*same, "place", *kept, keys.alias("keys")).groupBy(*same).agg(
-        F.min("place").alias("place"), (F.count("*") > 1).alias("again"), *[F.any_value(c).alias(c) for c in kept], F.any_value("keys").alias("keys")
+        "place", *kept, F.when(single, F.expr(_variants())).alias("v"), F.expr(f"slice(sets, 1, 2 * (n div {e}) + 1)").alias("c"),
+        F.when(few, F.when(F.expr(f"size(chunks) > 2 * (n div {e})"), F.expr(_repeated(e))).otherwise(F.expr(_stretches(e)))).alias("s"),
     )
-    distinct = materialize(distinct, "distinct-lines")
-
-    # Keys of two lines or more: nearly all are shuffled only to be dropped, so they travel with a hash alone.
+    none = "cast(array() as array<long>)"
+    keys = F.expr(f"case when v is null and s is null then c when c is null then v else array_distinct(concat(coalesce(v, {none}), c, coalesce(s, {none}))) end")
+    first = [F.get("keys", F.lit(0)), F.get("keys", F.lit(1)), F.coalesce(F.get("s", F.lit(0)), F.get("keys", F.lit(2)))]
+    keyed = keyed.select("place", *kept, keys.alias("keys"), "s").select("place", *kept, "keys", *[x.alias(c) for x, c in zip(first, FIRST)])
+    keyed = keyed.join(small_or_hashed(distinct).select("place"), "place", "left_semi")
+    keyed = materialize(keyed.withColumn("no", F.monotonically_increasing_id()), "keyed-lines")
+
+    # Keys of two lines or more: nearly all are shuffled only to be dropped, so they travel with a number alone.
     by_key = Window.partitionBy("k")
-    met = distinct.select("whole", F.explode("keys").alias("k")).select("k", "whole", F.min("whole").over(by_key).alias("a"), F.max("whole").over(by_key).alias("b"), F.count("*").over(by_key).alias("c"))
-    met = materialize(met.where("a != b").select("k", "whole", (F.col("c") > CROWD).alias("crowd")).distinct(), "shared-keys")
+    met = keyed.select("no", F.explode("keys").alias("k")).select("k", "no", F.min("no").over(by_key).alias("a"), F.max("no").over(by_key).alias("b"), F.count("*").over(by_key).alias("c"))
+    met = materialize(met.where("a != b").select("k", "no", (F.col("c") > CROWD).alias("crowd")), "shared-keys")
     # Lengths within the bound are in the same class or in neighbouring ones.
     size = F.floor(F.log("n") / F.log(F.lit(1 + 1.1 / e))).cast("int").alias("size")
     by_size = Window.partitionBy("k").orderBy("size")
     near_size = by_size.rangeBetween(-1, 1)
-    alive = met.join(distinct.select("whole", "place", *kept, size), "whole").drop("whole")
-    it = F.struct("place", *kept)
+    alive = met.join(keyed.select("no", "place", *kept, *FIRST, size), "no").drop("no")
+    it = F.struct("place", "n", *BITS)
     some = F.array(F.min(it).over(near_size), *[F.lag(it, d).over(by_size) for d in NEIGHBOURS])
     alive = alive.select("*", F.count("*").over(near_size).alias("c"), some.alias("p")).where("c > 1")
-    alive = materialize(alive.drop("c").withColumn("p", F.expr(f"transform(filter(p, x -> x is not null and {_may('x.', '', e)}), x -> x.place)")), "alive-keys")
+    alive = materialize(alive.drop("c").withColumn("p", F.expr(f"transform(filter(p, x -> x is not null and {_may('x.', '', e, False)}), x -> x.place)")), "alive-keys")
     drop(met)
+    drop(keyed)
 
     # Each line with the earliest of its keys and with neighbours, and where none is like it, with the others.
     pairs = materialize(alive.select("place", F.explode("p").alias("p")).distinct(), "pairs-with-some")
-    near = _verified(pairs, lines, e)
-    # In the keys of many lines classes of length meet, in the others all do.
-    later = alive.select("k", F.when(F.col("crowd"), F.col("size")).otherwise(-9).alias("size"), "place", *kept)
-    later = later.join(small_or_hashed(near), "place", "left_anti").select("k", "size", F.struct("place", *kept).alias("x"))
-    sizes = F.when(F.col("crowd"), F.array(*[F.col("size") + d for d in (-1, 0, 1)])).otherwise(F.array(F.lit(-9)))
-    earlier = alive.select("k", F.explode(sizes).alias("size"), F.struct("place", *kept).alias("y"))
-    more = later.join(earlier, ["k", "size"]).where(_may("y.", "x.", e)).select(F.col("x.place").alias("place"), F.col("y.place").alias("p")).distinct()
+    near = _verified(pairs, docs, e)
+    more = _others(alive, near, e).distinct()
     more = materialize(more.join(small_or_hashed(pairs), ["place", "p"], "left_anti"), "more-pairs")
     drop(alive)
-    also = _verified(more, lines, e)
+    also = _verified(more, docs, e)
 
     # Lines that stand there again, or are near an earlier one.
     all_near = near.unionByName(also).select("place", F.lit(True).alias("near"))
     verdict = distinct.join(all_near, "place", "left").where("again or near").select(*same, F.col("place").alias("earliest"), "near")
     verdict = materialize(verdict, "verdicts")
-    gone = lines.select("place", *same).join(small_or_hashed(verdict), same).where("near or place != earliest").select(*_id_and_line("place"))
+    gone = lines.join(small_or_hashed(verdict), same).where("near or place != earliest").select(*_id_and_line("place"))
     out = materialize(gone.groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("lines")), "removed-lines")
     for x in (lines, distinct, pairs, more, near, also, verdict):
         drop(x)
     return out
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, e: int) -> DataFrame:
+def _others(alive: DataFrame, near: DataFrame, e: int) -> DataFrame:
+    """Rows (place, p): lines that are near none yet with all earlier lines of their keys that they may be near."""
+    columns = ("place", "n", *BITS, "further", *FIRST)
+    # In the keys of many lines classes of length meet, in the others all do. Two classes are one
+    # here, and those beside a line's class are in two of these at most.
+    size, class_ = F.when(F.col("crowd"), F.col("size")), lambda x: F.floor(x / 2).cast("int")
+    classes = F.when(F.col("crowd"), F.array_distinct(F.array(class_(size - 1), class_(size + 1)))).otherwise(F.array(F.lit(-9)))
+    later = alive.join(small_or_hashed(near), "place", "left_anti").select("k", F.explode(classes).alias("size"), F.struct(*columns).alias("x"))
+    earlier = alive.select("k", F.coalesce(class_(size), F.lit(-9)).alias("size"), F.struct(*columns).alias("y"))
+    both = later.join(earlier, ["k", "size"]).where(f"{_may('y.', 'x.', e)} and {_meet('x.', 'y.')}")
+    return both.select(F.col("x.place").alias("place"), F.col("y.place").alias("p"))
+
+
+#: A character for a word; as few words share one, it mostly tells the words of a pair apart.
+_CHARACTER = "hex(4096 + pmod(hash(x), 51200))"
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, e: int) -> DataFrame:
     """Places of the pairs whose lines are within the bound."""
     wanted = materialize(pairs.select(F.explode(F.array("place", "p")).alias("place")).distinct(), "wanted-lines")
-    words = F.split("line", " ")
-    initials = F.array_join(F.transform(words, lambda x: F.left(x, F.lit(1))), "").alias("f")
-    found = lines.select("place", "line").join(small_or_hashed(wanted), "place", "left_semi").select("place", F.size(words).alias("n"), initials, F.col("line").alias("x")).dropDuplicates(["place"])
-    found = materialize(found, "wanted-columns")
+    found = _lines(docs).join(small_or_hashed(wanted), "place", "left_semi").dropDuplicates(["place"])
+    coded = F.expr(f"decode(unhex(array_join(transform(split(line, ' '), x -> {_CHARACTER}), '')), 'UTF-16BE')")
+    found = materialize(found.select("place", F.size(F.split("line", " ")).alias("n"), coded.alias("f"), F.col("line").alias("x")), "wanted-columns")
     drop(wanted)
     side = lambda k: found.select("place", *[F.col(c).alias(f"{c}{k}") for c in ("n", "f", "x")])
-    dealt = pairs.repartition(shuffle_parts(lines.sparkSession), "place", "p")
+    dealt = pairs.repartition(shuffle_parts(docs.sparkSession), "place", "p")
     both = dealt.join(side(1), "place").join(side(2).withColumnRenamed("place", "p"), "p")
     may = F.expr(f"levenshtein(f1, f2, cast(least(n1, n2) div {e} as int)) >= 0")
-    return materialize(both.where(F.when(may, within_edits(e)).otherwise(False)).select("place").distinct(), "near-lines")
+    # As many characters as words: each word has its own, and the distance of characters is that of the words.
+    apart = F.expr("size(array_union(split(x1, ' '), split(x2, ' '))) = size(array_union(split(f1, ''), split(f2, '')))")
+    out = materialize(both.where(F.when(may, F.when(apart, True).otherwise(within_edits(e))).otherwise(False)).select("place").distinct(), "near-lines")
+    drop(found)
+    return out
 
 
 def within_edits(words_per_edit: int) -> Column:

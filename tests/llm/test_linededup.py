@@ -78,3 +78,57 @@ def test_lines_with_a_common_passage_are_few_pairs(spark, monkeypatch):
     monkeypatch.setattr(linededup, "materialize", counted)
     assert got(spark, rows) == plain(rows)
     assert made["more-pairs"] < len(rows)
+
+
+def counted(monkeypatch):
+    """Rows by name that line dedup writes, and those of the join of further pairs before they are made distinct."""
+    made, write, others = {}, linededup.materialize, linededup._others
+
+    def writes(df, name):
+        out = write(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    def joins(*args):
+        out = others(*args)
+        made["joined"] = out.count()
+        return out
+
+    monkeypatch.setattr(linededup, "materialize", writes)
+    monkeypatch.setattr(linededup, "_others", joins)
+    return made
+
+
+def test_words_that_stand_twice_do_not_hide_that_lines_differ(spark, monkeypatch):
+    draw = random.Random(5)
+    rows = [(i, " ".join(2 * [*(f"w{draw.randrange(10**6)}n" for _ in range(14 + i % 3)), "passagethatallhaveq incommonandthatislongq thanotherse"])) for i in range(200)]
+    rows += [(200 + i, t.replace(" incommonandthatislongq", " x", 1)) for i, t in rows[::50]]
+    made = counted(monkeypatch)
+    assert got(spark, rows) == plain(rows)
+    assert made["more-pairs"] < len(rows)
+
+
+def test_lines_with_many_common_keys_meet_once(spark, monkeypatch):
+    draw = random.Random(6)
+    # The repeated passage fills the lines' keys, and what else they hold is a little beyond the bound.
+    rows = [(i, " ".join([*(f"w{draw.randrange(10**6)}" for _ in range(22 + i % 2)), *(70 * ["is", "onhe."])])) for i in range(60)]
+    rows += [(60 + i, t.replace("is onhe.", "was on", 4)) for i, t in rows[::20]]
+    made = counted(monkeypatch)
+    assert got(spark, rows) == plain(rows)
+    assert 0 < made["joined"] <= 2 * made["more-pairs"]
+
+
+def test_edits_of_lines_with_repeated_words(spark):
+    draw = random.Random(8)
+    rows, n = [], 0
+    for size in (10, 12, 20, 24, 40, 75, 130, 400):
+        for words in (3, 9):
+            base = [f"{draw.choice('abcdef')}{draw.randrange(words)}{draw.choice('nqe')}" for _ in range(size)]
+            for edits in (0, 1, 2, size // 10, size // 10 + 1):
+                line = list(base)
+                for _ in range(edits):
+                    line[draw.randrange(len(line))] = draw.choice(base) if draw.randrange(2) else f"x{draw.randrange(99)}e"
+                rows.append((n, " ".join(line)))
+                n += 1
+    draw.shuffle(rows)
+    assert got(spark, rows) == plain(rows)
