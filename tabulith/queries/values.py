@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tabulith.functions.values import column_types, parse_values
 from tabulith.queries.base import query
+from tabulith.queries.pages import BY_ORDER
 
 
 def grouped(x: str) -> str:
@@ -123,6 +124,7 @@ def fiscal_quarter(cells):
 
 @query(
     "column_type_vote",
+    deal=BY_ORDER,
     cells=CELLS.replace("THEN s WHEN 1", "THEN 'see note' WHEN 1").replace("ELSE concat('$ (', s, ')')", "ELSE '-'"),
     oracle="""
 WITH votes AS (SELECT l_orderkey, CASE WHEN form IN (2, 5) THEN 'currency' WHEN form = 0 THEN 'text' ELSE 'decimal' END AS kind, CASE WHEN form = 2 THEN 'USD' WHEN form = 5 THEN 'INR' END AS unit, form FROM cells),
