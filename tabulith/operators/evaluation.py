@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulith.functions.text import collapse, norm
 from tabulith.functions.values import NUMERIC
 
 
-def content_overlap(found: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
-    """Jaccard of the two bags of cell strings: (keys, overlap)."""
-    count = lambda d, n: d.withColumn("t", norm(F.col("text"))).where("t != ''").groupBy(*keys, "t").agg(F.count("*").alias(n))
-    j = count(found, "a").join(count(wanted, "b"), [*keys, "t"], "full")
-    a, b = F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0))
-    return j.groupBy(*keys).agg((F.sum(F.least(a, b)) / F.sum(F.greatest(a, b))).alias("overlap"))
+def _dealt(df: DataFrame, keys: list[str], n_parts: int | None) -> DataFrame:
+    return df if n_parts is None else df.repartition(n_parts, *keys)
+
+
+def content_overlap(found: DataFrame, wanted: DataFrame, keys: list[str], n_parts: int | None = None) -> DataFrame:
+    """Jaccard of the two bags of cell strings: (keys, overlap). Both bags are dealt out together, to ``n_parts`` if given."""
+    bag = lambda d, n: d.select(*keys, norm(F.col("text")).alias("t"), *[F.lit(int(k == n)).alias(k) for k in "ab"]).where("t != ''")
+    both = _dealt(bag(found, "a").unionByName(bag(wanted, "b")), keys, n_parts)
+    counts = both.groupBy(*keys, "t").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return counts.groupBy(*keys).agg((F.sum(F.least("a", "b")) / F.sum(F.greatest("a", "b"))).alias("overlap"))
 
 
 def to_number(text: Column) -> Column:
@@ -26,16 +30,23 @@ def to_number(text: Column) -> Column:
     return F.when(t.startswith("(") & t.endswith(")"), -v).otherwise(v)
 
 
-def numeric_overlap(found: DataFrame, wanted: DataFrame, keys: list[str], slack: float = 0.005) -> DataFrame:
+def numeric_overlap(found: DataFrame, wanted: DataFrame, keys: list[str], slack: float = 0.005, n_parts: int | None = None) -> DataFrame:
     """Share of a label's different figures that some value found comes close to.
 
-    Figures meet in buckets as wide as the slack, each looked for in its own and both next ones.
+    Figures and values stand in one order; the nearest value on either side tells. Nothing is joined or
+    written out more than once. Groups with a null key meet no value.
     """
-    want = wanted.select(*keys, to_number(F.col("text")).alias("w")).where("w is not null").distinct()
-    bucket = lambda v: F.floor(v / slack)
-    have = found.where("value is not null").select(*keys, F.col("value").alias("g")).distinct().withColumn("b", F.explode(F.array(*[bucket(F.col("g")) + i for i in (-1, 0, 1)])))
-    hit = want.withColumn("b", bucket(F.col("w"))).join(have, [*keys, "b"]).where(F.abs(F.col("w") - F.col("g")) < slack).select(*keys, "w").distinct().withColumn("hit", F.lit(1))
-    return want.join(hit, [*keys, "w"], "left").groupBy(*keys).agg((F.count("hit") / F.count("*")).alias("overlap"))
+    w = wanted.select(*keys, to_number(F.col("text")).alias("v"), F.lit(True).alias("is_wanted"))
+    both = w.unionByName(found.select(*keys, F.col("value").cast("double").alias("v"), F.lit(False).alias("is_wanted"))).where("v is not null")
+    both = _dealt(both, keys, n_parts).distinct()
+    value = F.when(~F.col("is_wanted"), F.col("v"))
+    up, down = Window.partitionBy(*keys).orderBy("v", "is_wanted"), Window.partitionBy(*keys).orderBy(F.desc("v"), "is_wanted")
+    near = lambda by: F.last(value, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    sides = both.withColumn("below", near(up)).withColumn("above", near(down)).where("is_wanted")
+    hit = (F.abs(F.col("v") - F.col("below")) < slack) | (F.abs(F.col("v") - F.col("above")) < slack)
+    for k in keys:
+        hit = hit & F.col(k).isNotNull()
+    return sides.groupBy(*keys).agg((F.count(F.when(hit, 1)) / F.count("*")).alias("overlap"))
 
 
 def structure_similarity(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabulith.functions.text import is_section, is_title, norm
-from tabulith.functions.values import parse_value
+from tabulith.functions.values import parse_values
 from tabulith.operators import context, evaluation, scoring, stitch
 from tabulith.queries.base import query
-from tabulith.queries.pages import TYPESET
+from tabulith.queries.pages import BY_ORDER, TYPESET
 
 _TABLES = """
 SELECT o_custkey AS doc_id, cast(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS int) AS page_no, 0 AS table_idx, cast(o_orderkey % 2 AS int) AS kind,
@@ -53,6 +53,7 @@ JOIN (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey O
 
 @query(
     "stitch_absorb",
+    deal=BY_ORDER,
     tables=_TABLES,
     cells=_ROWS,
     oracle="""
@@ -230,35 +231,39 @@ WITH g AS (SELECT doc_id, sum(cents) AS s, count(*) AS n, max(row_idx) AS last,
  d AS (SELECT *, CASE WHEN abs(total - s) <= abs(total - (first - (s - first))) THEN total - s ELSE total - (first - (s - first)) END AS delta FROM r)"""
 
 
-def _ledger(ledger):
+def _ledger(ledger, n_parts):
     """(cells, groups): lines and a total each; some totals are off by one, some subtract, some lines are errors."""
     total = ledger.groupBy("doc_id").agg(F.sum("cents").alias("s"), F.min_by("cents", "row_idx").alias("first"), (F.max("row_idx") + 1).alias("row_idx"))
     off = F.when(F.col("doc_id") % 7 == 0, F.col("s") + 100).when(F.col("doc_id") % 7 == 1, 2 * F.col("first") - F.col("s")).otherwise(F.col("s"))
     rows = ledger.select("doc_id", "row_idx", "cents", (F.col("l_partkey") % 23 == 0).alias("err")).unionByName(total.select("doc_id", "row_idx", off.alias("cents"), F.lit(False).alias("err")))
     money = F.format_string("%.2f", (F.col("cents") / 100).cast("double"))
     text = F.when(F.col("err"), "#REF!").when(F.col("cents") < 0, F.concat(F.lit("("), F.replace(money, F.lit("-"), F.lit("")), F.lit(")"))).otherwise(money)
-    cells = rows.select("doc_id", "row_idx", F.lit(1).alias("col_idx"), text.alias("text")).withColumn("p", parse_value(F.col("text")))
+    cells = rows.select("doc_id", "row_idx", F.lit(1).alias("col_idx"), text.alias("text"))
+    cells = parse_values(cells, "text", "p")
     cells = cells.select("doc_id", "row_idx", "col_idx", "text", "p.value_type", F.col("p.normalized_value").alias("value"), "p.notes", F.lit("decimal").alias("column_type"))
     groups = ledger.select("doc_id", "row_idx").join(total.select("doc_id", F.col("row_idx").alias("subtotal_row")), "doc_id")
+    cells = cells.repartition(n_parts, "doc_id", "row_idx")
     return cells, groups.select("doc_id", F.lit(0).alias("section_idx"), F.lit(0).alias("group_idx"), F.col("row_idx").alias("member_row"), "subtotal_row")
 
 
 @query(
     "crossfoot",
+    deal=BY_ORDER,
     ledger=_LEDGER,
     oracle=_LEDGER_ORACLE + """
 SELECT doc_id, CASE WHEN err = 1 THEN 'unverifiable' WHEN abs(delta) <= 2 THEN 'pass' ELSE 'fail' END AS status, CASE WHEN err = 0 THEN cast(delta AS bigint) END AS delta_cents FROM d""",
 )
-def crossfoot(ledger):
-    found = scoring.crossfoot(*_ledger(ledger), ["doc_id"])
+def crossfoot(ledger, n_parts):
+    found = scoring.crossfoot(*_ledger(ledger, n_parts), ["doc_id"])
     return found.select("doc_id", "status", (F.col("delta") * 100).cast("long").alias("delta_cents"))
 
 
-def _scored(ledger):
-    cells, groups = _ledger(ledger)
+def _scored(ledger, n_parts):
+    cells, groups = _ledger(ledger, n_parts)
     found = scoring.crossfoot(cells, groups, ["doc_id"])
     signals = scoring.crossfoot_signals(found, groups, ["doc_id"])
-    joined = cells.join(signals, ["doc_id", "row_idx", "col_idx"], "left").withColumns({"is_header": F.lit(False), "header_split": F.lit(False), "low_layout": F.lit(False), "row_flags": F.array().cast("array<string>")})
+    at = ["doc_id", "row_idx", "col_idx"]
+    joined = cells.repartition(n_parts, *at).join(signals.repartition(n_parts, *at), at, "left").withColumns({"is_header": F.lit(False), "header_split": F.lit(False), "low_layout": F.lit(False), "row_flags": F.array().cast("array<string>")})
     score, codes = scoring.confidence()
     return joined.withColumn("raw_score", score).withColumns({"codes": codes, "confidence": scoring.calibrate(F.col("raw_score"))}), found
 
@@ -273,31 +278,32 @@ _SCORED_ORACLE = _LEDGER_ORACLE + """,
    WHEN v <= 0.94 THEN 0.85 + (v - 0.85) / 0.09 * 0.08 ELSE 0.93 + (v - 0.94) / 0.06 * 0.03 END)) AS conf FROM y)"""
 
 
-@query("confidence", ledger=_LEDGER, oracle=_SCORED_ORACLE + " SELECT doc_id, row_idx, round(cast(raw AS double), 6) AS raw_score, codes FROM z")
-def confidence(ledger):
-    return _scored(ledger)[0].select("doc_id", "row_idx", F.round("raw_score", 6).alias("raw_score"), F.array_join("codes", "|").alias("codes"))
+@query("confidence", deal=BY_ORDER, ledger=_LEDGER, oracle=_SCORED_ORACLE + " SELECT doc_id, row_idx, round(cast(raw AS double), 6) AS raw_score, codes FROM z")
+def confidence(ledger, n_parts):
+    return _scored(ledger, n_parts)[0].select("doc_id", "row_idx", F.round("raw_score", 6).alias("raw_score"), F.array_join("codes", "|").alias("codes"))
 
 
-@query("calibrated", ledger=_LEDGER, oracle=_SCORED_ORACLE + " SELECT doc_id, row_idx, round(cast(conf AS double), 6) AS confidence FROM z")
-def calibrated(ledger):
-    return _scored(ledger)[0].select("doc_id", "row_idx", F.round("confidence", 6).alias("confidence"))
+@query("calibrated", deal=BY_ORDER, ledger=_LEDGER, oracle=_SCORED_ORACLE + " SELECT doc_id, row_idx, round(cast(conf AS double), 6) AS confidence FROM z")
+def calibrated(ledger, n_parts):
+    return _scored(ledger, n_parts)[0].select("doc_id", "row_idx", F.round("confidence", 6).alias("confidence"))
 
 
-@query("review_queue", ledger=_LEDGER, oracle=_SCORED_ORACLE + " SELECT doc_id, row_idx, round(1 - cast(conf AS double), 6) AS priority, codes FROM z WHERE conf < 0.9 OR codes <> ''")
-def review_queue(ledger):
-    cells = _scored(ledger)[0].withColumns({"page_no": F.lit(1), "table_idx": F.lit(0)})
+@query("review_queue", deal=BY_ORDER, ledger=_LEDGER, oracle=_SCORED_ORACLE + " SELECT doc_id, row_idx, round(1 - cast(conf AS double), 6) AS priority, codes FROM z WHERE conf < 0.9 OR codes <> ''")
+def review_queue(ledger, n_parts):
+    cells = _scored(ledger, n_parts)[0].withColumns({"page_no": F.lit(1), "table_idx": F.lit(0)})
     return scoring.review_queue(cells).select("doc_id", "row_idx", F.round("priority", 6).alias("priority"), F.array_join("codes", "|").alias("codes"))
 
 
 @query(
     "issue_counts",
+    deal=BY_ORDER,
     ledger=_LEDGER,
     oracle=_LEDGER_ORACLE + """
 SELECT CASE WHEN err = 1 THEN 'info' ELSE 'warning' END AS severity, CASE WHEN err = 1 THEN 'CROSSFOOT_UNVERIFIABLE' ELSE 'CROSSFOOT_FAIL' END AS code, count(*) AS n FROM d WHERE err = 1 OR abs(delta) > 2 GROUP BY 1, 2
 UNION ALL SELECT 'error', 'SOURCE_ERROR_VALUE', count(*) FROM ledger WHERE l_partkey % 23 = 0""",
 )
-def issue_counts(ledger):
-    cells, found = _scored(ledger)
+def issue_counts(ledger, n_parts):
+    cells, found = _scored(ledger, n_parts)
     return scoring.issue_counts(found, cells)
 
 
@@ -357,27 +363,29 @@ def audit_summary(tables):
 
 @query(
     "content_overlap",
+    deal=BY_ORDER,
     found="SELECT l_orderkey AS doc_id, concat(' ', upper(l_returnflag), '  ', l_linestatus) AS text FROM {lineitem}",
     wanted="SELECT l_orderkey AS doc_id, CASE WHEN l_partkey % 3 = 0 THEN 'x y' ELSE concat(lower(l_returnflag), ' ', l_linestatus) END AS text FROM {lineitem}",
     oracle="""
 WITH a AS (SELECT doc_id, lower(trim(regexp_replace(text, ' +', ' ', 'g'))) AS t, count(*) AS n FROM found GROUP BY 1, 2), b AS (SELECT doc_id, lower(text) AS t, count(*) AS n FROM wanted GROUP BY 1, 2)
 SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, round(sum(least(coalesce(a.n, 0), coalesce(b.n, 0))) / cast(sum(greatest(coalesce(a.n, 0), coalesce(b.n, 0))) AS double), 6) AS overlap FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.t = b.t GROUP BY 1""",
 )
-def content_overlap(found, wanted):
-    return evaluation.content_overlap(found, wanted, ["doc_id"]).withColumn("overlap", F.round("overlap", 6))
+def content_overlap(found, wanted, n_parts):
+    return evaluation.content_overlap(found, wanted, ["doc_id"], n_parts).withColumn("overlap", F.round("overlap", 6))
 
 
 @query(
     "numeric_overlap",
+    deal=BY_ORDER,
     found="SELECT l_orderkey AS doc_id, CASE WHEN l_partkey % 4 = 0 THEN l_quantity + 1000 ELSE l_quantity END AS value FROM {lineitem}",
     wanted="SELECT l_orderkey AS doc_id, concat('(', cast(cast(l_quantity AS int) AS varchar(9)), '.00)') AS text, l_quantity, l_partkey % 3 AS form FROM {lineitem}",
     oracle="""
 WITH w AS (SELECT DISTINCT doc_id, CASE WHEN form = 0 THEN -l_quantity ELSE l_quantity END AS w FROM wanted), f AS (SELECT DISTINCT doc_id, value FROM found)
 SELECT w.doc_id, round(count(f.value) / cast(count(*) AS double), 6) AS overlap FROM w LEFT JOIN f ON f.doc_id = w.doc_id AND abs(f.value - w.w) < 0.005 GROUP BY 1""",
 )
-def numeric_overlap(found, wanted):
+def numeric_overlap(found, wanted, n_parts):
     w = wanted.withColumn("text", F.when(F.col("form") == 0, F.col("text")).otherwise(F.regexp_replace("text", "[()]", "")))
-    return evaluation.numeric_overlap(found, w, ["doc_id"]).withColumn("overlap", F.round("overlap", 6))
+    return evaluation.numeric_overlap(found, w, ["doc_id"], n_parts=n_parts).withColumn("overlap", F.round("overlap", 6))
 
 
 _JUDGED = "SELECT l_orderkey, (l_partkey % 100) / 100.0 AS confidence, l_suppkey % 5 <> 0 AS correct FROM {lineitem}"
@@ -406,6 +414,7 @@ def reliability_bins(cells):
 
 @query(
     "triage_suspicion",
+    deal=BY_ORDER,
     cells="""
 SELECT l_orderkey AS doc_id, cast(line_idx AS int) AS row_idx, c AS col_idx, CASE WHEN c = 0 THEN concat('part ', cast(l_partkey % 5 AS varchar(9))) WHEN c = 1 THEN 'words of text' WHEN (line_idx + c) % 2 = 0 THEN '' ELSE '12' END AS text, CASE WHEN c < 2 THEN 'text' ELSE 'integer' END AS value_type
 FROM (SELECT doc_id AS l_orderkey, line_idx, l_partkey FROM (""" + TYPESET + """) AS t) AS r CROSS JOIN (SELECT 0 AS c UNION ALL SELECT 1 UNION ALL SELECT 2) AS three""",
