@@ -246,6 +246,7 @@ def symbol_absorb(cols):
 
 @query(
     "rule_columns",
+    deal=BY_ORDER,
     rules="SELECT l_orderkey AS doc_id, cast(l_partkey % 40 * 10 AS double) AS x, cast(0 AS double) AS y0, cast(50 + l_quantity AS double) AS y1 FROM {lineitem}",
     blocks="SELECT o_orderkey AS doc_id, cast(0 AS double) AS y0, cast(100 AS double) AS y1, cast(12 AS double) AS unit FROM {orders}",
     oracle="""
@@ -265,6 +266,7 @@ FROM (SELECT doc_id AS l_orderkey, cast(line_idx AS int) AS line_idx FROM (""" +
 
 @query(
     "trap_classify",
+    deal=BY_ORDER,
     cells=_TRAP_CELLS,
     oracle="""
 WITH t AS (SELECT doc_id, max(row_idx) + 1 AS n_rows FROM cells GROUP BY 1)
